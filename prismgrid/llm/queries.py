@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from prismgrid.llm import bpe, mixing, quality
+from prismgrid.llm import bpe, mixing, pii, quality
 from prismgrid.sources.tables import table
 
 
+def _tagger(spark, sf):
+    return pii.fit(table(spark, sf, "pii_labels"), table(spark, sf, "person_names"))
+
+
+def p5_found(spark, sf):
+    return pii.find_items(table(spark, sf, "elements"), _tagger(spark, sf)).drop("end_pos")
+
+
+def p5_redacted(spark, sf):
+    return pii.redact_fields(table(spark, sf, "elements"), _tagger(spark, sf))
+
+
 def p6_ids(spark, sf):
     return bpe.encode_documents(table(spark, sf, "documents"))
 
@@ -27,5 +39,5 @@ def p8_stats(spark, sf):
     return quality.classify_texts(table(spark, sf, "documents"), table(spark, sf, "common_words"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_choice": p7_choice, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_choice": p7_choice, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
