@@ -21,10 +21,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismgrid.operators.shred import as_text, number, read_json
+from prismgrid.session import checkpoint
 
 KINDS = {bool: "boolean", int: "number", float: "number", str: "string", dict: "object", list: "array"}
 #: Content features are hashed into this many classes per group, so footers stay small.
 CLASSES = 64
+#: Files whose footers a task holds before it passes them on.
+FILES_HELD = 2000
 #: Least share of content in common, averaged over the groups, for a rename.
 LEAST_ALIKE = 0.3
 _RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"a(?: a)+"), "a a"))
@@ -92,30 +95,39 @@ def file_footers(crawl_files: DataFrame) -> DataFrame:
     record has no footer. Lines without a feed or file number are left out.
     """
 
+    def rows_of(files):
+        rows = [(*k, p, list(note.items())) for k, seen in files.items() for p, note in seen.items()]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
+            names=["feed", "file_no", "path", "features"],
+        )
+
     def stripe(batches):
+        files: dict = {}
         for batch in batches:
-            files: dict = {}
             for feed, no, record in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 value = read_json(record)
                 if isinstance(value, dict):
                     footer([value], files.setdefault((feed, no), {}))
-            rows = [(*k, p, f, n) for k, seen in files.items() for p, note in seen.items() for f, n in note.items()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[i] for r in rows], t)
-                    for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()))
-                ],
-                names=["feed", "file_no", "path", "feature", "n"],
-            )
-
+            if len(files) > FILES_HELD:
+                yield rows_of(files)
+                files = {}
+        yield rows_of(files)
+
+    # A task gives a file's field one row, so the list below is no longer than the tasks
+    # that read of the file.
+    merged = (
+        "aggregate(slice(parts, 2, size(parts)), parts[0], "
+        "(a, b) -> map_zip_with(a, b, (k, x, y) -> coalesce(x, 0L) + coalesce(y, 0L)))"
+    )
     return (
         crawl_files.where("feed is not null and file_no is not null and record is not null")
         .select("feed", "file_no", "record")
-        .mapInArrow(stripe, "feed string, file_no int, path string, feature string, n bigint")
-        .groupBy("feed", "file_no", "path", "feature")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(stripe, "feed string, file_no int, path string, features map<string, bigint>")
         .groupBy("feed", "file_no", "path")
-        .agg(F.map_from_entries(F.collect_list(F.struct("feature", "n"))).alias("features"))
+        .agg(F.collect_list("features").alias("parts"))
+        .select("feed", "file_no", "path", F.expr(merged).alias("features"))
     )
 
 
@@ -221,7 +233,8 @@ def schema_changes(crawl_files: DataFrame) -> DataFrame:
     several candidates the most alike are paired first, ties by name. Repeated lines
     and lines that cannot be read change nothing; empty tables give no rows.
     """
-    events = _ends_and_starts(file_footers(crawl_files))
+    # Both are read several times; the footers are what is left of the records.
+    events = checkpoint(_ends_and_starts(checkpoint(file_footers(crawl_files))))
     gone = events.where("event = 'end'").select(
         "feed", "at_file", "parent", "kind", F.col("path").alias("old"), F.col("features").alias("fa")
     )
