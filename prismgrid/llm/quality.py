@@ -118,8 +118,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(1), F.col("n") - 3), lambda i: F.xxhash64(F.slice("words", i, 4))),
     )
     no_url = F.regexp_replace("t", _URL, "")
-    return sorted_lines.select(
-        "doc_id",
+    statistics = F.struct(
         n_lines.alias("n_lines"),
         F.col("n").alias("n_words"),
         _share(F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)), F.col("n")).alias("mean_word_length"),
@@ -137,6 +136,9 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         _share(F.length(F.regexp_replace("t", rf"[^{_DAMAGED[1:]}+", "")), F.length("t")).alias("damaged_share"),
         F.when(F.col("n") >= 24, _share(F.size(F.array_distinct(grams)), F.size(grams))).alias("distinct_share"),
     )
+    # Generated columns stop filters on them from being moved below, where each use would
+    # compute the statistics again.
+    return sorted_lines.select("doc_id", F.inline_outer(F.array(statistics)))
 
 
 def classify_texts(documents: DataFrame, common_words: DataFrame) -> DataFrame:
