@@ -116,6 +116,8 @@ def mix_sources(
             report.append((mix, t.source, t.w / weight, t.w / reach if t.have else 0.0, t.r))
         for t in live:
             quota = seats[t.source] * BLOCK
+            if seats[t.source] >= t.have * t.r // BLOCK:  # all it can give, the part of a block at its end too
+                quota = t.have * t.r
             passes, rest = min(t.r, quota // t.have), quota % t.have
             sizes = in_shard[t.source]
             extra = apportion([float(n) for _, n in sizes], rest // BLOCK, [n // BLOCK + 1 for _, n in sizes])

@@ -115,7 +115,8 @@ FEATURES: list[str] = [
 _ID = {f: i for i, f in enumerate(FEATURES)}
 #: Where the weights start: feature -> {label: weight}. The fit is pulled to these values.
 START: dict[str, dict[str, float]] = {
-    "token": {"B-email": -4, "B-phone": -4, "B-id_number": -4, "B-street_address": -4, "B-person_name": -3},
+    "token": {"B-email": -4, "B-phone": -4, "B-id_number": -4, "B-street_address": -4, "B-person_name": -3,
+              "I-email": -2, "I-phone": -2, "I-id_number": -2, "I-street_address": -2, "I-person_name": -3},
     **{f"{n}:B": {f"B-{k}": 8, "O": -1} for n, (k, _) in SHAPES.items()},
     **{f"{n}:I": {f"I-{k}": 6, "O": -1} for n, (k, _) in SHAPES.items()},
     "caption_id:id_number": {"B-id_number": 3, "I-id_number": 1},
@@ -248,6 +249,7 @@ class Tagger:
                 dotted = i > 2 and words[i - 2] == "." and (titles[i - 3] or not single[i - 3])
                 if alone or joined or dotted:
                     out[i].append(_ID["name_comma"])
+                    out[i + 1].append(_ID["after_name"])
             elif words[i] == "-" and 0 < i < n - 1 and namey[i - 1] and namey[i + 1] and tokens[i + 1][0] == tokens[i][1]:
                 out[i].append(_ID["name_hyphen"])
         links, met = [], {}
