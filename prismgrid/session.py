@@ -25,3 +25,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismgrid-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer partitions than there are.
+
+    For work that is heavy for each row. Large inputs have partitions enough and are
+    left where they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
