@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from prismgrid.session import spread
+
 #: Fixed value: the vocabulary's own split of text into words, with white space spelled out.
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -156,7 +158,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(encode, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -170,4 +172,4 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"]
             )
 
-    return documents.select("doc_id", "source", "text").mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")

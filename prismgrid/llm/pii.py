@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm.crf import SkipChain
+from prismgrid.session import spread
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 #: The most labelled tokens' texts and names that are fitted to, by least id.
@@ -367,8 +368,7 @@ def find_items(elements: DataFrame, tagger: Tagger) -> DataFrame:
             )
 
     return (
-        elements.where("element_id is not null and (text <> '' or accessible_name <> '')")
-        .select("element_id", *FIELDS)
+        spread(elements.where("element_id is not null and (text <> '' or accessible_name <> '')").select("element_id", *FIELDS))
         .mapInArrow(find, "element_id bigint, field_name string, kind string, start_pos int, end_pos int")
         .distinct()
     )
@@ -396,6 +396,6 @@ def redact_fields(elements: DataFrame, tagger: Tagger) -> DataFrame:
                 columns.append(pa.array(clean, pa.string()).take(column.indices))
             yield pa.RecordBatch.from_arrays(columns, names=["element_id", "arrived_at", *FIELDS])
 
-    return elements.select("element_id", F.col("arrived_at"), *FIELDS).mapInArrow(
+    return spread(elements.select("element_id", F.col("arrived_at"), *FIELDS)).mapInArrow(
         redact, "element_id bigint, arrived_at timestamp_ntz, text string, accessible_name string"
     )

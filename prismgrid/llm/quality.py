@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismgrid.session import spread
+
 #: Fixed thresholds of the rules.
 MIN_LETTERS = 0.55
 MAX_ENCODED = 0.4
@@ -67,7 +69,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     common = sorted({r.word.lower() for r in common_words.where("word is not null").select("word").distinct().collect()})
     is_common = (lambda w: F.lower(w).isin(common)) if common else (lambda w: F.lit(False))
     text = F.coalesce("text", F.lit(""))
-    parts = documents.select("doc_id", text.alias("t")).select(
+    parts = spread(documents.select("doc_id", text.alias("t"))).select(
         "doc_id",
         "t",
         F.regexp_replace("t", r"\s+", "").alias("dense"),
