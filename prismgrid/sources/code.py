@@ -31,8 +31,7 @@ MAX_LABELS, MAX_TEST_IDS = 40, 20
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the source files below a folder; big and bundled files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.lit(folder.rstrip("/") + "/")
-    inside = F.substring_index(F.col("path"), root, -1)
+    inside = F.substring_index("path", folder.rstrip("/") + "/", -1)
     skipped = r"(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
     kept = files.where(
         (F.col("length") <= MAX_BYTES)
