@@ -21,11 +21,13 @@ MAX_CODE = 0.10
 MAX_DAMAGED = 0.03
 MIN_VOWELS = 0.2
 MAX_NOISE_SYMBOLS = 0.12
+MAX_SYMBOLS = 0.8
 MIN_DISTINCT = 0.2
 MOST_LINES = 0.5
 #: Words of an entry without a mark, its most characters, its share of common words.
 BARE_WORDS, BARE_CHARS, BARE_COMMON = 5, 60, 0.41
-#: A line of so many words with such a share of common words is a sentence, no row of cells.
+#: A line of so many words with such a share of common words, or with one and an end mark,
+#: is a sentence, no row of cells.
 SENTENCE_WORDS, SENTENCE_COMMON = 7, 0.25
 
 _WORD = r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*"
@@ -87,7 +89,8 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         )
 
     def shaped(s: Column) -> Column:
-        sentence = (s.n >= SENTENCE_WORDS) & (s.n_common >= s.n * SENTENCE_COMMON)
+        ended = s.x.rlike(r"[.!?。！？…:][\"'”’»)\]]*\s*$")
+        sentence = (s.n >= SENTENCE_WORDS) & ((s.n_common >= s.n * SENTENCE_COMMON) | (ended & (s.n_common > 0)))
         east = s.x.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
         bare = F.when(
             (s.n > 0) & (s.n <= BARE_WORDS) & (F.length(s.x) <= 4 * BARE_CHARS),
@@ -101,7 +104,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
             F.when(sentence, False).otherwise(s.x.rlike(_TABLE) | F.trim(s.x).rlike(_CSV)).alias("row"),
             s.x.rlike(_MARK).alias("mark"),
             bare.alias("bare"),
-            s.x.rlike(r"[.!?。！？…:][\"'”’»)\]]*\s*$").alias("punctuated"),
+            ended.alias("punctuated"),
         )
 
     sorted_lines = parts.select(
@@ -116,7 +119,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     untagged = F.regexp_replace("t", r"(?i)</?[a-z][^<>]*>", " ")
     latin = F.length(F.regexp_replace(untagged, r"[^\p{IsLatin}]+", ""))
     grams = F.when(
-        F.col("n") >= 24,
+        F.col("n") >= 12,
         F.transform(F.sequence(F.lit(1), F.col("n") - 3), lambda i: F.xxhash64(F.slice("words", i, 4))),
     )
     no_url = F.regexp_replace("t", _URL, "")
@@ -127,8 +130,9 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         _share(dense - F.length(F.regexp_replace("dense", r"[^\p{L}\p{M}\p{N}]+", "")), dense).alias("symbol_ratio"),
         _share(count(lambda s: s.punctuated), n_lines).alias("punctuated_lines"),
         _share(F.size(F.filter("words", is_common)), F.col("n")).alias("common_share"),
+        _share(F.size(F.filter("words", lambda w: (F.length(w) > 1) & is_common(w))), F.col("n")).alias("longer_common_share"),
         _share(letters, dense).alias("letter_share"),
-        F.when(latin >= 20, _share(F.length(F.regexp_replace(untagged, r"[^aeiouyAEIOUYäöüÄÖÜàáâãåæèéêëìíîïòóôõøùúûœýÿÀÁÂÉÈÍÓÚ]+", "")), latin)).alias("vowel_share"),
+        F.when((latin >= 20) & (4 * latin >= 3 * letters), _share(F.length(F.regexp_replace(untagged, r"[^aeiouyAEIOUYäöüÄÖÜàáâãåæèéêëìíîïòóôõøùúûœýÿÀÁÂÉÈÍÓÚ]+", "")), latin)).alias("vowel_share"),
         _share(count(lambda s: s.row), n_lines).alias("row_lines"),
         _share(count(lambda s: ~s.row & (s.mark | s.bare)), n_lines).alias("entry_lines"),
         _share(count(lambda s: ~s.row & s.mark), n_lines).alias("marked_lines"),
@@ -136,7 +140,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         _share(_left_out(F.col("t"), _MARKUP), F.length("t")).alias("markup_share"),
         _share(F.regexp_count(F.regexp_replace("t", r"(?i)</?[a-z][^<>]*>|&[a-z]+;", ""), F.lit(_CODE)), F.length("t")).alias("code_share"),
         _share(F.length(F.regexp_replace("t", rf"[^{_DAMAGED[1:]}+", "")), F.length("t")).alias("damaged_share"),
-        F.when(F.col("n") >= 24, _share(F.size(F.array_distinct(grams)), F.size(grams))).alias("distinct_share"),
+        F.when(F.col("n") >= 12, _share(F.size(F.array_distinct(grams)), F.size(grams))).alias("distinct_share"),
     )
     # Generated columns stop filters on them from being moved below, where each use would
     # compute the statistics again.
@@ -147,11 +151,12 @@ def classify_texts(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """Statistics, the failed rules (``reasons``) and the kind of each document.
 
     Kinds: ``junk`` if a rule of damage fails, else ``table`` or ``list`` if more than
-    half of the lines that are not blank are rows of cells or entries, else ``prose``.
+    half of the lines that are not blank are rows of cells or entries, else ``prose``. A
+    table has two lines at least, a list three, or two with marks.
     Null, empty and blank texts are prose with no reasons.
     """
     stats = text_statistics(documents, common_words)
-    tabular = F.col("row_lines") > MOST_LINES
+    tabular = (F.col("row_lines") > MOST_LINES) & (F.col("n_lines") >= 2)
     listed = (F.col("entry_lines") > MOST_LINES) & ((F.col("n_lines") >= 3) | ((F.col("n_lines") >= 2) & (F.col("marked_lines") > MOST_LINES)))
     shaped = tabular | listed
     rules = {
@@ -160,9 +165,10 @@ def classify_texts(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         "markup": (F.col("markup_share") > MAX_MARKUP) & ~tabular & (F.col("common_share") < 0.15),
         "code": (F.col("code_share") > MAX_CODE) & ~shaped,
         "few_letters": (F.col("letter_share") < MIN_LETTERS) & ~shaped,
-        "few_vowels": (F.col("vowel_share") < MIN_VOWELS) & (F.col("common_share") < 0.1),
+        "few_vowels": (F.col("vowel_share") < MIN_VOWELS) & (F.col("longer_common_share") < 0.1),
+        "symbols": F.col("symbol_ratio") > MAX_SYMBOLS,
         "noise": (F.col("symbol_ratio") > MAX_NOISE_SYMBOLS)
-        & (F.col("common_share") < 0.08)
+        & (F.col("longer_common_share") < 0.08)
         & (F.col("vowel_share") < F.when(shaped, 0.3).otherwise(0.5)),
         "repeated": F.col("distinct_share") < MIN_DISTINCT,
         "rows_of_cells": tabular,
