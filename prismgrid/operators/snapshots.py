@@ -30,10 +30,7 @@ def comparisons(crawls: DataFrame) -> DataFrame:
         .where("finished_at is not null and started_at is not null")
         .drop("first_at")
     )
-    chain = W.partitionBy("site", "config_file").orderBy("started_at", "finished_at", "crawl_id")
-    linked = done.select(
-        "crawl_id", F.lag("crawl_id").over(chain).alias("prev"), F.lead("crawl_id").over(chain).alias("next")
-    )
+    linked = _neighbours(done)
     sides = F.array(
         F.when(
             F.col("prev").isNotNull(),
@@ -55,6 +52,36 @@ def comparisons(crawls: DataFrame) -> DataFrame:
     )
 
 
+def _neighbours(done: DataFrame) -> DataFrame:
+    """crawl_id with the chain's crawl before and after it (``prev``, ``next``).
+
+    Chains are cut by month of start, so that a chain of very many crawls is no single
+    task's; the ends of the months are linked over one row per chain and month.
+    """
+    order = ["started_at", "finished_at", "crawl_id"]
+    rows = done.select(
+        F.struct("site", "config_file").alias("chain"), F.date_trunc("month", "started_at").alias("month"), *order
+    )
+    inside = W.partitionBy("chain", "month").orderBy(*order)
+    ends = (
+        rows.groupBy("chain", "month")
+        .agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
+        .select(
+            "chain",
+            "month",
+            F.lag("hi.crawl_id").over(W.partitionBy("chain").orderBy("month")).alias("before"),
+            F.lead("lo.crawl_id").over(W.partitionBy("chain").orderBy("month")).alias("after"),
+        )
+    )
+    near = rows.select(
+        "chain", "month", "crawl_id", F.lag("crawl_id").over(inside).alias("p"), F.lead("crawl_id").over(inside).alias("n")
+    )
+    same = F.col("r.chain").eqNullSafe(F.col("e.chain")) & (F.col("r.month") == F.col("e.month"))
+    return near.alias("r").join(ends.alias("e"), same).select(
+        "crawl_id", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next")
+    )
+
+
 def name_value(name):
     """A name without letter case, outer white space and length of inner white space."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), SPACE, " ")))

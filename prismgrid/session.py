@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismgrid-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
