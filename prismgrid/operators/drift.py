@@ -26,6 +26,8 @@ from prismgrid.session import checkpoint
 KINDS = {bool: "boolean", int: "number", float: "number", str: "string", dict: "object", list: "array"}
 #: Content features are hashed into this many classes per group, so footers stay small.
 CLASSES = 64
+#: Files of a feed that one task orders.
+BLOCK = 1024
 #: Files whose footers a task holds before it passes them on.
 FILES_HELD = 2000
 #: Least share of content in common, averaged over the groups, for a rename.
@@ -132,19 +134,59 @@ def file_footers(crawl_files: DataFrame) -> DataFrame:
 
 
 def _sequence(footers: DataFrame) -> DataFrame:
-    """Footers with the file's place in its feed and the feed's number of files."""
+    """Footers with the file's place in its feed, the feed's number of files and the kind.
+
+    Places are counted per block of file numbers and shifted by what lies before, so that
+    no task orders all files of a feed.
+    """
+    files = footers.select("feed", "file_no").distinct().withColumn("block", F.floor(F.col("file_no") / BLOCK))
     feed = W.partitionBy("feed")
-    files = (
-        footers.select("feed", "file_no")
-        .distinct()
-        .withColumn("seq", F.row_number().over(feed.orderBy("file_no")))
-        .withColumn("files", F.count("*").over(feed))
+    blocks = (
+        files.groupBy("feed", "block")
+        .agg(F.count("*").alias("n"))
+        .select(
+            "feed",
+            "block",
+            F.coalesce(F.sum("n").over(feed.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
+            F.sum("n").over(feed).alias("files"),
+        )
     )
-    types = F.array_join(
-        F.array_sort(F.transform(F.filter(F.map_keys("features"), lambda k: k.startswith("t:")), lambda k: k.substr(F.lit(3), F.length(k)))),
-        "|",
+    inside = F.row_number().over(W.partitionBy("feed", "block").orderBy("file_no"))
+    placed = files.withColumn("inside", inside).join(blocks, ["feed", "block"]).select(
+        "feed", "file_no", (F.col("earlier") + F.col("inside")).alias("seq"), "files"
+    )
+    types = F.filter(F.map_keys("features"), lambda k: k.startswith("t:"))
+    kind = F.array_join(F.array_sort(F.transform(types, lambda k: F.substring(k, 3, 20))), "|")
+    return footers.join(placed, ["feed", "file_no"]).withColumn("kind", kind)
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """Adds place and kind of the same field's file before and after, found by lag and lead.
+
+    The places are cut into blocks; the rows at their edges are lent to the neighbouring
+    block, so that a field of a feed with very many files is no single task's.
+    """
+    at = F.floor(F.col("seq") / BLOCK)
+    blocks = F.array_compact(
+        F.array(
+            F.struct(at.alias("block"), F.lit(False).alias("lent")),
+            F.when(F.col("seq") % BLOCK == 0, F.struct((at - 1).alias("block"), F.lit(True).alias("lent"))),
+            F.when(F.col("seq") % BLOCK == BLOCK - 1, F.struct((at + 1).alias("block"), F.lit(True).alias("lent"))),
+        )
+    )
+    path = W.partitionBy("feed", "path", "block").orderBy("seq")
+    return (
+        rows.select("*", F.inline(blocks))
+        .select(
+            "*",
+            F.lag("seq").over(path).alias("seq_before"),
+            F.lag("kind").over(path).alias("kind_before"),
+            F.lead("seq").over(path).alias("seq_after"),
+            F.lead("kind").over(path).alias("kind_after"),
+        )
+        .where("not lent")
+        .drop("block", "lent")
     )
-    return footers.join(files, ["feed", "file_no"]).withColumn("kind", types)
 
 
 def lifespans(footers: DataFrame) -> DataFrame:
@@ -153,27 +195,26 @@ def lifespans(footers: DataFrame) -> DataFrame:
     ``starts`` and ``ends`` tell whether the island begins after the feed's first file or
     ends before its last. A file in which all values are null has kind ''.
     """
-    rows = _sequence(footers)
-    island = F.col("seq") - F.row_number().over(W.partitionBy("feed", "path", "kind").orderBy("seq"))
+    rows = _beside(_sequence(footers).drop("features"))
+    no = F.lit(False)
+    first = ~F.coalesce((F.col("seq_before") == F.col("seq") - 1) & (F.col("kind_before") == F.col("kind")), no)
+    last = ~F.coalesce((F.col("seq_after") == F.col("seq") + 1) & (F.col("kind_after") == F.col("kind")), no)
+    # Only the ends of islands are left, so this order is as long as the changes are many.
+    island = W.partitionBy("feed", "path", "kind").orderBy("seq")
+    edges = rows.select("*", first.alias("first"), last.alias("last")).where("first or last")
+    ended = F.when(F.col("last"), F.struct("seq", "file_no")).otherwise(F.lead(F.struct("seq", "file_no")).over(island))
     return (
-        rows.withColumn("island", island)
-        .groupBy("feed", "path", "kind", "island", "files")
-        .agg(
-            F.min("file_no").alias("first_file"),
-            F.max("file_no").alias("last_file"),
-            F.count("*").alias("n_files"),
-            F.min("seq").alias("lo"),
-            F.max("seq").alias("hi"),
-        )
+        edges.withColumn("end", ended)
+        .where("first")
         .select(
             "feed",
             "path",
             "kind",
-            "first_file",
-            "last_file",
-            "n_files",
-            (F.col("lo") > 1).alias("starts"),
-            (F.col("hi") < F.col("files")).alias("ends"),
+            F.col("file_no").alias("first_file"),
+            F.col("end.file_no").alias("last_file"),
+            (F.col("end.seq") - F.col("seq") + 1).alias("n_files"),
+            (F.col("seq") > 1).alias("starts"),
+            (F.col("end.seq") < F.col("files")).alias("ends"),
         )
     )
 
@@ -198,13 +239,7 @@ def _alike(a: str, b: str) -> str:
 def _ends_and_starts(footers: DataFrame) -> DataFrame:
     """Events per feed and file: fields that end before it, start in it or change type."""
     rows = _sequence(footers)
-    path = W.partitionBy("feed", "path").orderBy("seq")
-    seen = rows.select(
-        "*",
-        F.lag("seq").over(path).alias("seq_before"),
-        F.lag("kind").over(path).alias("kind_before"),
-        F.lead("seq").over(path).alias("seq_after"),
-    )
+    seen = _beside(rows)
     follows = F.coalesce(F.col("seq_before") == F.col("seq") - 1, F.lit(False))
     followed = F.coalesce(F.col("seq_after") == F.col("seq") + 1, F.lit(False))
     event = F.array(

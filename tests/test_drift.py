@@ -61,3 +61,18 @@ def test_unified_records_follow_aliases_and_casts(frame):
     assert Counter(r.started_at for r in out) == {"2025-01-01T00:00:00Z": 6}
     assert sorted(r.max_pages for r in out) == [25, 25, 50, 50, 75, 100]
     assert {r.navigation[0].nav_label for r in out} == {"Help"}
+
+
+def test_blocks_of_files_change_nothing(frame, monkeypatch):
+    rows = []
+    for no in range(1, 12):
+        record = {"a": no if no % 4 else str(no), "keep": True}
+        if no not in (4, 5, 8):
+            record["b"] = "x"
+        rows += lines("f", no * 3, [record])
+    whole = found(frame, rows)
+    spans = lambda: sorted(map(tuple, drift.lifespans(drift.file_footers(frame("crawl_files", rows))).collect()))
+    one = spans()
+    monkeypatch.setattr(drift, "BLOCK", 2)
+    assert found(frame, rows) == whole and spans() == one
+    assert ("f", 12, "b", "removed", "") in whole and ("f", 18, "b", "added", "") in whole and ("f", 12, "a", "retyped", "") in whole
