@@ -14,7 +14,7 @@ SCOPE = ["prev_crawl_id", "next_crawl_id", "url"]
 
 def crawl_pairs(comparisons: DataFrame) -> DataFrame:
     """(prev_crawl_id, next_crawl_id) of consecutive captures of a chain."""
-    return comparisons.select("crawl_id", F.inline("sides")).where("side = 1").select("pair.prev_crawl_id", F.col("pair.crawl_id").alias("next_crawl_id"))
+    return comparisons.where("prev is not null").select(F.col("prev").alias("prev_crawl_id"), F.col("crawl_id").alias("next_crawl_id"))
 
 
 def _sides(prints: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,36 +19,33 @@ KEY = ["record_type", "url", "frame", "dom_path"]
 
 
 def comparisons(crawls: DataFrame) -> DataFrame:
-    """(crawl_id, pair, side): the comparisons a finished crawl takes part in.
+    """(crawl_id, chain, prev, next): the finished crawls that take part in comparisons.
 
     A chain is the finished crawls of one site and config file by started_at, ties by
     finished_at and crawl_id; nulls of site and config file are equal. Crawls without a
-    start or an end are passed over. ``pair`` is (prev_crawl_id, crawl_id).
+    start or an end are passed over. ``prev`` and ``next`` are the crawls before and after
+    it in its chain, of which ``chain`` is a hash.
     """
     done = (
         latest(crawls, "crawl_id", ["site", "config_file", "started_at", "finished_at"])
         .where("finished_at is not null and started_at is not null")
         .drop("first_at")
     )
-    linked = _neighbours(done)
-    sides = F.array(
-        F.when(
-            F.col("prev").isNotNull(),
-            F.struct(
-                F.struct(F.col("prev").alias("prev_crawl_id"), F.col("crawl_id").alias("crawl_id")).alias("pair"),
-                F.lit(1).alias("side"),
-            ),
-        ),
-        F.when(
-            F.col("next").isNotNull(),
-            F.struct(
-                F.struct(F.col("crawl_id").alias("prev_crawl_id"), F.col("next").alias("crawl_id")).alias("pair"),
-                F.lit(-1).alias("side"),
-            ),
-        ),
-    )
-    return linked.select("crawl_id", F.filter(sides, lambda s: s.isNotNull()).alias("sides")).where(
-        "size(sides) > 0"
+    return _neighbours(done).where("prev is not null or next is not null")
+
+
+def _sides():
+    """(pair, side) of a crawl: +1 as the new snapshot, -1 as the old one."""
+
+    def one(old, new, side):
+        pair = F.struct(F.col(old).alias("prev_crawl_id"), F.col(new).alias("crawl_id"))
+        return F.struct(pair.alias("pair"), F.lit(side).alias("side"))
+
+    return F.array_compact(
+        F.array(
+            F.when(F.col("prev").isNotNull(), one("prev", "crawl_id", 1)),
+            F.when(F.col("next").isNotNull(), one("crawl_id", "next", -1)),
+        )
     )
 
 
@@ -78,7 +75,10 @@ def _neighbours(done: DataFrame) -> DataFrame:
     )
     same = F.col("r.chain").eqNullSafe(F.col("e.chain")) & (F.col("r.month") == F.col("e.month"))
     return near.alias("r").join(ends.alias("e"), same).select(
-        "crawl_id", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next")
+        "crawl_id",
+        F.xxhash64("r.chain").alias("chain"),
+        F.coalesce("p", "before").alias("prev"),
+        F.coalesce("n", "after").alias("next"),
     )
 
 
@@ -126,25 +126,27 @@ def snapshot_changes(crawls: DataFrame, page_nodes: DataFrame, elements: DataFra
     put out as ''. Rows of crawls that are in no comparison give nothing; empty tables
     give no rows.
     """
-    signed = (
+    rows = (
         snapshot_records(page_nodes, elements)
         .join(comparisons(crawls), "crawl_id")
-        .select(*KEY, "name", F.inline("sides"))
-        .select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in KEY], "name", "pair", "side")
+        .select("chain", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in KEY], "name", "crawl_id", "prev", "next")
+    )
+    # Each record is placed once, by chain and key, and takes its signs there. The groups
+    # below hold chain and key too, so neither sum exchanges again.
+    signed = rows.repartition(F.col("chain"), *[F.col(c) for c in KEY]).select(
+        "chain", *KEY, "name", F.inline(_sides())
     )
-    # The partition key is narrower than the groups below, so neither sum exchanges again.
-    placed = signed.repartition(F.col("pair"), *[F.col(c) for c in KEY])
     marker = F.struct(F.lit("").alias("field"), F.lit("").alias("value"))
     field = F.struct(F.lit("accessible_name").alias("field"), F.col("name").alias("value"))
-    cells = placed.select(
-        "pair", *KEY, "side", F.inline(F.array_compact(F.array(marker, F.when(F.col("name").isNotNull(), field))))
+    cells = signed.select(
+        "chain", "pair", *KEY, "side", F.inline(F.array_compact(F.array(marker, F.when(F.col("name").isNotNull(), field))))
     )
     nonzero = (
-        cells.groupBy("pair", *KEY, "field", "value")
+        cells.groupBy("chain", "pair", *KEY, "field", "value")
         .agg((F.max(F.greatest("side", F.lit(0))) + F.min(F.least("side", F.lit(0)))).alias("sum"))
         .where("sum <> 0")
     )
-    of_key = nonzero.groupBy("pair", *KEY).agg(
+    of_key = nonzero.groupBy("chain", "pair", *KEY).agg(
         F.sum(F.when(F.col("field") == "", F.col("sum"))).alias("presence"),
         F.array_sort(F.collect_set(F.when(F.col("field") != "", F.col("field")))).alias("fields"),
     )
