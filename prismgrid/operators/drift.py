@@ -9,11 +9,11 @@ starts was renamed, which gives the alias table that unifies the records.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
 import zlib
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +24,7 @@ from prismgrid.operators.shred import as_text, number, read_json
 from prismgrid.session import checkpoint
 
 KINDS = {bool: "boolean", int: "number", float: "number", str: "string", dict: "object", list: "array"}
+_KIND_FEATURES = {t: f"t:{k}" for t, k in KINDS.items()}
 #: Content features are hashed into this many classes per group, so footers stay small.
 CLASSES = 64
 #: Files of a feed that one task orders.
@@ -34,51 +35,66 @@ FILES_HELD = 2000
 LEAST_ALIKE = 0.3
 _RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"a(?: a)+"), "a a"))
 _DIGITS = re.compile(r"\d")
+_NINES = str.maketrans("012345678", "9" * 9)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _class(group: str, text: str) -> str:
     return f"{group}{zlib.crc32(text.encode()) % CLASSES}"
 
 
-def features(value) -> list[str]:
+@functools.lru_cache(maxsize=1 << 16)
+def _text_features(value: str) -> tuple[str, ...]:
+    shape = value[:120].translate(_NINES)
+    for pattern, sign in _RUNS:
+        shape = pattern.sub(sign, shape)
+    words = value.lower().split()
+    length = "w" if len(words) > 3 else int(math.log2(len(value) + 1))
+    return (_class("s", shape[:40]), f"l{length}", *[_class("v", w) for w in words[:20] if not _DIGITS.search(w)])
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _number_features(value: float, whole: bool) -> tuple[str, ...]:
+    if not whole and not math.isfinite(value):
+        return ("m?",)
+    kind, size = "i" if whole else "f", abs(value) + 1
+    return (f"m{kind}{int(math.log2(size))}", f"c{kind}{int(math.log10(size))}")
+
+
+def features(value) -> tuple[str, ...]:
     """Bounded classes of one value's content: shape, length and vocabulary."""
+    if isinstance(value, str):
+        return _text_features(value)
     if isinstance(value, bool):
-        return ["b1" if value else "b0"]
+        return ("b1" if value else "b0",)
     if isinstance(value, (int, float)):
-        if not math.isfinite(value):
-            return ["m?"]
-        kind, size = "f" if isinstance(value, float) else "i", abs(value) + 1
-        return [f"m{kind}{int(math.log2(size))}", f"c{kind}{int(math.log10(size))}"]
-    if isinstance(value, str):
-        shape = _DIGITS.sub("9", value[:120])
-        for pattern, sign in _RUNS:
-            shape = pattern.sub(sign, shape)
-        words = value.lower().split()
-        length = "w" if len(words) > 3 else int(math.log2(len(value) + 1))
-        return [_class("s", shape[:40]), f"l{length}", *[_class("v", w) for w in words[:20] if not _DIGITS.search(w)]]
+        return _number_features(value, isinstance(value, int))
     if isinstance(value, dict):
-        return [_class("k", k) for k in value]
-    return []
+        return tuple(_class("k", k) for k in value)
+    return ()
 
 
 def footer(records: list, seen: dict) -> None:
-    """Add readable records of one file to ``seen``: (path) -> Counter of kinds and features."""
+    """Add readable records of one file to ``seen``: (path) -> counts of kinds and features."""
 
     def visit(value, path: str):
-        note = seen.setdefault(path, Counter())
+        note = seen.get(path)
+        if note is None:
+            note = seen[path] = {"n": 0}
         note["n"] += 1
         if value is None:
             return
-        note["t:" + KINDS[type(value)]] += 1
+        kind = _KIND_FEATURES[type(value)]
+        note[kind] = note.get(kind, 0) + 1
         for f in features(value):
-            note[f] += 1
+            note[f] = note.get(f, 0) + 1
         if isinstance(value, dict):
             for k, v in value.items():
                 visit(v, f"{path}.{k}")
         elif isinstance(value, list):
             for v in value:
                 for f in features(v):
-                    note["e" + f] += 1
+                    note["e" + f] = note.get("e" + f, 0) + 1
                 if isinstance(v, dict):
                     for k, x in v.items():
                         visit(x, f"{path}[].{k}")
