@@ -107,18 +107,21 @@ def footer(records: list, seen: dict) -> None:
 
 
 def file_footers(crawl_files: DataFrame) -> DataFrame:
-    """(feed, file_no, path, features map) of every file, types as features ``t:...``.
+    """(feed, file_no, path, parts) of every file: counts of types and content features.
+
+    A part is what one task read of the file, as text ``feature=count|...`` with types as
+    ``t:...``; it is taken apart only where contents are compared.
 
     Lines that cannot be read, or hold no object, are skipped; a file with no readable
     record has no footer. Lines without a feed or file number are left out.
     """
 
     def rows_of(files):
-        rows = [(*k, p, list(note.items())) for k, seen in files.items() for p, note in seen.items()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int64()))
+        rows = [(*k, p, "|".join([f"{f}={n}" for f, n in note.items()])) for k, seen in files.items() for p, note in seen.items()]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
-            names=["feed", "file_no", "path", "features"],
+            names=["feed", "file_no", "path", "part"],
         )
 
     def stripe(batches):
@@ -135,20 +138,22 @@ def file_footers(crawl_files: DataFrame) -> DataFrame:
 
     # A task gives a file's field one row, so the list below is no longer than the tasks
     # that read of the file.
-    merged = (
-        "aggregate(slice(parts, 2, size(parts)), parts[0], "
-        "(a, b) -> map_zip_with(a, b, (k, x, y) -> coalesce(x, 0L) + coalesce(y, 0L)))"
-    )
     return (
         crawl_files.where("feed is not null and file_no is not null and record is not null")
         .select("feed", "file_no", "record")
-        .mapInArrow(stripe, "feed string, file_no int, path string, features map<string, bigint>")
+        .mapInArrow(stripe, "feed string, file_no int, path string, part string")
         .groupBy("feed", "file_no", "path")
-        .agg(F.collect_list("features").alias("parts"))
-        .select("feed", "file_no", "path", F.expr(merged).alias("features"))
+        .agg(F.collect_list("part").alias("parts"))
     )
 
 
+def _profile(parts: str) -> str:
+    """SQL of the feature counts of all parts as one map."""
+    one = "transform_values(str_to_map(x, '[|]', '='), (k, v) -> cast(v as bigint))"
+    merge = "map_zip_with(a, b, (k, x, y) -> coalesce(x, 0L) + coalesce(y, 0L))"
+    return f"reduce(transform({parts}, x -> {one}), cast(map() as map<string, bigint>), (a, b) -> {merge})"
+
+
 def _sequence(footers: DataFrame) -> DataFrame:
     """Footers with the file's place in its feed, the feed's number of files and the kind.
 
@@ -171,8 +176,8 @@ def _sequence(footers: DataFrame) -> DataFrame:
     placed = files.withColumn("inside", inside).join(blocks, ["feed", "block"]).select(
         "feed", "file_no", (F.col("earlier") + F.col("inside")).alias("seq"), "files"
     )
-    types = F.filter(F.map_keys("features"), lambda k: k.startswith("t:"))
-    kind = F.array_join(F.array_sort(F.transform(types, lambda k: F.substring(k, 3, 20))), "|")
+    types = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit("t:([a-z]+)="), F.lit(1))))
+    kind = F.array_join(F.array_sort(F.array_distinct(types)), "|")
     return footers.join(placed, ["feed", "file_no"]).withColumn("kind", kind)
 
 
@@ -211,7 +216,7 @@ def lifespans(footers: DataFrame) -> DataFrame:
     ``starts`` and ``ends`` tell whether the island begins after the feed's first file or
     ends before its last. A file in which all values are null has kind ''.
     """
-    rows = _beside(_sequence(footers).drop("features"))
+    rows = _beside(_sequence(footers).drop("parts"))
     no = F.lit(False)
     first = ~F.coalesce((F.col("seq_before") == F.col("seq") - 1) & (F.col("kind_before") == F.col("kind")), no)
     last = ~F.coalesce((F.col("seq_after") == F.col("seq") + 1) & (F.col("kind_after") == F.col("kind")), no)
@@ -246,8 +251,9 @@ def _alike(a: str, b: str) -> str:
     overlap = (
         f"transform(filter(array('s','l','v','m','c','b','k','es','el','ev','em','ec','eb','ek'), "
         f"g -> exists(map_keys({a}), k -> startswith(k, g)) or exists(map_keys({b}), k -> startswith(k, g))), "
-        f"g -> aggregate(map_keys({a}), 0D, (s, k) -> s + if(startswith(k, g), "
-        f"least({a}[k] / {total(a)}, coalesce(try_element_at({b}, k) / nullif({total(b)}, 0), 0D)), 0D)))"
+        f"g -> transform(array(struct({total(a)} as ta, {total(b)} as tb)), "
+        f"t -> aggregate(map_keys({a}), 0D, (s, k) -> s + if(startswith(k, g), "
+        f"least({a}[k] / t.ta, coalesce(try_element_at({b}, k) / nullif(t.tb, 0D), 0D)), 0D)))[0])"
     )
     return f"aggregate({overlap}, struct(0D as t, 0 as n), (s, x) -> struct(s.t + x as t, s.n + 1 as n), s -> s.t / nullif(s.n, 0))"
 
@@ -268,7 +274,7 @@ def _ends_and_starts(footers: DataFrame) -> DataFrame:
     )
     files = rows.select("feed", F.col("seq").alias("at"), F.col("file_no").alias("at_file")).distinct()
     return (
-        seen.select("feed", "path", "kind", "kind_before", "features", F.inline(F.array_compact(event)))
+        seen.select("feed", "path", "kind", "kind_before", "parts", F.inline(F.array_compact(event)))
         .join(files, ["feed", "at"])
         .withColumn("parent", F.regexp_replace("path", r"[^.]*$", ""))
     )
@@ -287,15 +293,17 @@ def schema_changes(crawl_files: DataFrame) -> DataFrame:
     # Both are read several times; the footers are what is left of the records.
     events = checkpoint(_ends_and_starts(checkpoint(file_footers(crawl_files))))
     gone = events.where("event = 'end'").select(
-        "feed", "at_file", "parent", "kind", F.col("path").alias("old"), F.col("features").alias("fa")
+        "feed", "at_file", "parent", "kind", F.col("path").alias("old"), F.col("parts").alias("pa")
     )
     new = events.where("event = 'start'").select(
-        "feed", "at_file", "parent", "kind", F.col("path").alias("new"), F.col("features").alias("fb")
+        "feed", "at_file", "parent", "kind", F.col("path").alias("new"), F.col("parts").alias("pb")
     )
+    # The profiles are bound to a variable, so that each is built once for its many uses.
+    alike = f"transform(array(struct({_profile('pa')} as a, {_profile('pb')} as b)), z -> {_alike('z.a', 'z.b')})[0]"
     pairs = (
         gone.where("kind <> ''")
         .join(new, ["feed", "at_file", "parent", "kind"])
-        .select("feed", "at_file", "kind", "old", "new", F.expr(_alike("fa", "fb")).alias("alike"))
+        .select("feed", "at_file", "kind", "old", "new", F.expr(alike).alias("alike"))
         .where(F.col("alike") >= LEAST_ALIKE)
         .groupBy("feed", "at_file")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("alike")).alias("d"), "old", "new", "kind"))).alias("c"))
