@@ -55,3 +55,17 @@ def current_edges(nav_edges: DataFrame) -> DataFrame:
             F.coalesce(F.nullif("control", blank), F.lit("link")).alias("control"),
         )
     )
+
+
+def merge_frames(page_elements: DataFrame, frame_elements: DataFrame, frames: DataFrame) -> DataFrame:
+    """Elements of a page and of its frames of the same origin, with the frame's key.
+
+    ``frames`` is (url, frame, frame_url); elements of other origins stay outside and are
+    only known by their frame. Both element tables have url and the same columns, the
+    frames' elements also ``frame``.
+    """
+    from prismgrid.operators.navigation import same_origin
+
+    entered = frames.where(same_origin(F.col("url"), F.col("frame_url"))).select("url", "frame")
+    inside = frame_elements.join(entered, ["url", "frame"], "left_semi")
+    return page_elements.withColumn("frame", F.lit(None).cast("string")).unionByName(inside)

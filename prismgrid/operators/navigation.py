@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prismgrid.functions.text import strip
+from prismgrid.functions.identity import safety_label
+from prismgrid.functions.text import squeezed, strip
 from prismgrid.functions.urls import page_key
 from prismgrid.operators.capture import current_edges, current_elements, current_pages
 from prismgrid.session import checkpoint
@@ -123,6 +124,22 @@ def resolved_links(nav_edges: DataFrame) -> DataFrame:
     )
 
 
+def same_origin(a: Column, b: Column) -> Column:
+    """Equal scheme and authority; about: and data: addresses inherit."""
+    inherits = a.rlike("^(about|data):") | b.rlike("^(about|data):")
+    return inherits | ((F.lower(part(a, 1)) == F.lower(part(b, 1))) & (host_of(a) == host_of(b)))
+
+
+def deep_links(nav_edges: DataFrame, budget: int = 40) -> DataFrame:
+    """Links found by clicking: safe labels only, each tried once per capture, in order,
+    the first ``budget`` of a capture (the feature)."""
+    label = squeezed(F.col("label"))
+    clicked = current_edges(nav_edges).where((F.col("control") == "deep-nav") & (label != "") & (safety_label(F.col("label")) == "SAFE"))
+    once = clicked.groupBy("crawl_id", label.alias("label")).agg(F.min(F.struct("edge_id", "source", "target")).alias("f"))
+    turn = F.row_number().over(W.partitionBy("crawl_id").orderBy("f.edge_id"))
+    return once.withColumn("turn", turn).where(F.col("turn") <= budget).select("crawl_id", "label", "turn", "f.source", "f.target")
+
+
 def not_captured(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
     """Targets a capture found but does not hold, with the number of screens that link there."""
     pages = current_pages(page_nodes).select("crawl_id", F.col("url").alias("target"))

@@ -123,3 +123,8 @@ def narrowest_targets(targets: DataFrame) -> DataFrame:
     )
     ancestors = rows.where(F.size(parts) > 1).select("frame", F.explode(above).alias("dom_path")).distinct()
     return rows.join(ancestors, ["frame", "dom_path"], "left_anti")
+
+
+def redact_snapshot(tree: Column) -> Column:
+    """An accessibility tree without what was typed: text after typed roles is left out."""
+    return F.regexp_replace(tree, r"(?m)^(\s*-\s+(?:textbox|searchbox)\b[^:\n]*):[ \t]*\S.*$", "$1:")

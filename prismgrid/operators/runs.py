@@ -133,3 +133,23 @@ def auth_verdict(checks: DataFrame, crawls: DataFrame) -> DataFrame:
         (F.col("logged_out") > 0) | ((F.col("empty") > 0) & (2 * F.col("empty") >= F.col("pages")))
     )
     return counts.join(used, "crawl_id").select("crawl_id", "pages", "logged_out", "empty", expired.alias("auth_expired"))
+
+
+def retention_totals(plan: DataFrame) -> DataFrame:
+    """Captures per bucket and their oldest age."""
+    return plan.groupBy("bucket").agg(F.count("*").alias("captures"), F.max("age_days").alias("oldest_days"))
+
+
+def prune(folders: list[str], delete: bool = False) -> list[str]:
+    """List the folders of expired captures; remove them only if told to, go on after errors."""
+    import shutil
+
+    gone = []
+    for folder in folders:
+        try:
+            if delete:
+                shutil.rmtree(folder)
+            gone.append(folder)
+        except OSError:
+            continue
+    return gone

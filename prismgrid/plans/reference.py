@@ -772,6 +772,31 @@ def retention_plan(s, d):
     return runs.retention_plan(table(s, d, "crawls"), NOW, RETENTION)
 
 
+@query(
+    "retention_totals",
+    f"""with {CR}, a as (select round(greatest((epoch_us(timestamp '{NOW}') - epoch_us(coalesce(finished_at, started_at))) / 86400000000.0::double, 0), 2) as age_days, coalesce(finished_at, started_at) is null as undated from cr)
+select case when undated then 'undetermined' when age_days > {RETENTION} then 'expired' else 'kept' end as bucket, count(*) as captures, max(age_days) as oldest_days from a group by 1""",
+)
+def retention_totals(s, d):
+    return runs.retention_totals(retention_plan(s, d))
+
+
+@query(
+    "deep_links",
+    f"""with {ED}, c as (select *, {squeeze_sql('label')} as lb from ed where control = 'deep-nav'),
+f as (select * from c where lb <> '' and {safety_sql('label')} = 'SAFE' qualify row_number() over (partition by crawl_id, lb order by edge_id) = 1)
+select * from (select crawl_id, lb as label, row_number() over (partition by crawl_id order by edge_id) as turn, source, target from f) where turn <= 40""",
+)
+def deep_links(s, d):
+    return navigation.deep_links(edges(s, d))
+
+
+@query("frame_counts", f"with {EL} select crawl_id, url, coalesce(frame, '') as frame, count(*) as elements, count(*) filter (where visible) as visible from el group by all")
+def frame_counts(s, d):
+    rows = current_elements(elements(s, d), "frame", "visible")
+    return rows.groupBy("crawl_id", "url", F.coalesce("frame", F.lit("")).alias("frame")).agg(F.count("*").alias("elements"), F.count_if("visible").alias("visible"))
+
+
 @query(
     "settle_detection",
     """with c as (select *, case when event_type = lag(event_type) over w then 0 else 1 end as ch from events window w as (partition by user_id order by ts, event_id)),

@@ -202,3 +202,18 @@ def test_sinks_and_api(spark, frame, tmp_path):
         (tmp_path / "runs" / depth / "run.json").write_text(body)
     assert sorted((r.run_id or "", r.broken) for r in sinks.find_captures(spark, str(tmp_path / "runs")).collect()) == [("", True), ("r", False)]
     assert all(getattr(api, name) for name in api.__all__)
+
+
+def test_frames_origins_and_snapshots(spark, tmp_path):
+    page = spark.createDataFrame([("https://x.example/", "a")], "url string, dom_path string")
+    inner = spark.createDataFrame([("https://x.example/", "b", "own"), ("https://x.example/", "c", "other"), ("https://x.example/", "d", "blank")], "url string, dom_path string, frame string")
+    frames = spark.createDataFrame([("https://x.example/", "own", "https://X.example/f"), ("https://x.example/", "other", "https://y.example/f"), ("https://x.example/", "blank", "about:blank")], "url string, frame string, frame_url string")
+    from prismgrid.operators.capture import merge_frames
+
+    assert {(r.dom_path, r.frame) for r in merge_frames(page, inner, frames).collect()} == {("a", None), ("b", "own"), ("d", "blank")}
+    tree = '- main\n  - textbox "API token": hunter2\n  - button "Go": x\n  - searchbox: "q" and\n  - textbox "empty":'
+    expect = '- main\n  - textbox "API token":\n  - button "Go": x\n  - searchbox:\n  - textbox "empty":'
+    assert one(spark, redaction.redact_snapshot(F.col("t")), t=tree) == expect
+    (tmp_path / "x").mkdir()
+    assert runs.prune([str(tmp_path / "x"), str(tmp_path / "none")]) and (tmp_path / "x").exists()
+    assert runs.prune([str(tmp_path / "x"), str(tmp_path / "none")], delete=True) == [str(tmp_path / "x")] and not (tmp_path / "x").exists()
