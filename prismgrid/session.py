@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Steps of a plan that move rows: their partitions are not known before they ran.
+MOVING = re.compile("Aggregate|Join|Window|Sort|Exchange|Repartition|Limit")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the files give fewer partitions than there are.
 
     For work that is heavy for each row. Large inputs have partitions enough and are
-    left where they are, without a shuffle.
+    left where they are, without a shuffle; so are results of joins and aggregates.
     """
+    plan = df._jdf.queryExecution()
+    if MOVING.search(plan.sparkPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else df
