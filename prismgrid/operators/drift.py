@@ -437,11 +437,28 @@ def cast_value(value, kind: str):
     return as_text(value)
 
 
+def not_held(value, cast, kind: str):
+    """What of a value its cast does not hold: the value, an object's other fields, or None."""
+    if value is None:
+        return None
+    if cast is None:
+        return value
+    if isinstance(value, dict):
+        used = ("major", "minor", "patch") if kind == "version" else ("text",) if "text" in value else value
+        return {k: v for k, v in value.items() if k not in used} or None
+    if kind == "time" and isinstance(value, float) and value % 1:
+        return value
+    return None
+
+
 def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """All readable records in one table of declared columns, plus what is left as JSON.
 
     One row per distinct (feed, file_no, line_no, record). Renamed fields are found by
-    the alias table, other types are cast; what a cast cannot read is null.
+    the alias table, other types are cast; what a cast cannot read is null and left in
+    ``rest``. ``rest`` goes by path; ``navigation[2].weight`` belongs to the entry at
+    place 2 of the column, where an entry that is no object is null. Of two names of one
+    field in a record the first with a value fills the column, the other is left.
     """
     changes = schema_changes(crawl_files) if changes is None else changes
     aliases = {r.alias: r.canonical for r in alias_table(changes).toLocalIterator()}
@@ -456,28 +473,52 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
 
     def unify(record: dict) -> tuple[dict, list, dict]:
         got, entries, rest = {}, [], {}
+
+        def keep(path: str, v):
+            while path in rest:
+                path += "~"
+            rest[path] = v
+
+        def put(to: dict, name: str, v, place: str, raw: str):
+            """Cast into a declared field; what its column does not hold is kept."""
+            if to.get(name) is not None:
+                if v is not None:
+                    keep(raw, v)
+                return
+            to[name] = cast_value(v, MODEL[name][1])
+            left = not_held(v, to[name], MODEL[name][1])
+            if left is not None:
+                keep(place, left)
+
         for k, v in record.items():
             name = aliases.get(k, k)
             if name in MODEL:
-                got[name] = cast_value(v, MODEL[name][1])
+                put(got, name, v, name, k)
             elif isinstance(v, dict) and f"{name}." in {p.split(".")[0] + "." for p in scalars if "." in p}:
                 for k2, v2 in v.items():
                     deep = aliases.get(f"{k}.{k2}", aliases.get(f"{name}.{k2}", f"{name}.{k2}"))
                     if deep in MODEL:
-                        got[deep] = cast_value(v2, MODEL[deep][1])
+                        put(got, deep, v2, deep, f"{k}.{k2}")
                     else:
-                        rest[f"{name}.{k2}"] = v2
-            elif name == "navigation":
-                for entry in v if isinstance(v, list) else [v]:
-                    if isinstance(entry, dict):
-                        one = {}
-                        for k2, v2 in entry.items():
-                            deep = aliases.get(f"{k}[].{k2}", f"navigation[].{k2}")
-                            if deep in MODEL:
-                                one[MODEL[deep][0]] = cast_value(v2, MODEL[deep][1])
-                        entries.append({MODEL[p][0]: one.get(MODEL[p][0]) for p in nav})
+                        keep(f"{name}.{k2}", v2)
+            elif name == "navigation" and (v is None or isinstance(v, (dict, list))):
+                for entry in v if isinstance(v, list) else [] if v is None else [v]:
+                    place = f"navigation[{len(entries)}]"
+                    if not isinstance(entry, dict):
+                        entries.append(None)
+                        if entry is not None:
+                            keep(place, entry)
+                        continue
+                    one = {}
+                    for k2, v2 in entry.items():
+                        deep = aliases.get(f"{k}[].{k2}", f"navigation[].{k2}")
+                        if deep in MODEL:
+                            put(one, deep, v2, f"{place}.{deep.split('.')[1]}", f"{place}.{k2}")
+                        else:
+                            keep(f"{place}.{k2}", v2)
+                    entries.append({MODEL[p][0]: one.get(p) for p in nav})
             else:
-                rest[name] = v
+                keep(name, v)
         return got, entries, rest
 
     def read(batches):

@@ -76,3 +76,31 @@ def test_blocks_of_files_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(drift, "BLOCK", 2)
     assert found(frame, rows) == whole and spans() == one
     assert ("f", 12, "b", "removed", "") in whole and ("f", 18, "b", "added", "") in whole and ("f", 12, "a", "retyped", "") in whole
+
+
+def leaves(value):
+    if isinstance(value, dict):
+        return [x for v in value.values() for x in leaves(v)]
+    if isinstance(value, list):
+        return [x for v in value for x in leaves(v)]
+    return [] if value is None else [value]
+
+
+def test_no_leaf_of_a_readable_record_is_lost(frame):
+    record = {
+        "crawl_id": "cr_1", "extra": "e1", "auth_used": "perhaps", "schema_version": {"major": 7, "minor": 8, "patch": 9, "build": "b1"},
+        "config": {"max_pages": "plenty", "theme": "dark"},
+        "navigation": [
+            {"label": "Orders", "weight": 31, "opens_new": "tab"}, "bare entry", None, ["listed"],
+            {"label": {"text": "Help", "lang": "en"}, "to": "/h", "rank": {"of": 41, "all": [42]}},
+        ],
+    }
+    rows = drift.unified_records(frame("crawl_files", lines("f", 1, [record, {"navigation": {"label": "One", "weight": 51}}, {"navigation": "text"}]))).collect()
+    row, single, scalar = sorted(rows, key=lambda r: r.line_no)
+    rest = json.loads(row.rest)
+    assert (rest["navigation[0].weight"], rest["navigation[0].opens_new"]) == (31, "tab")
+    assert (rest["navigation[1]"], rest["navigation[3]"], rest["navigation[4].rank"]) == ("bare entry", ["listed"], {"of": 41, "all": [42]})
+    assert [n and n.nav_label for n in row.navigation] == ["Orders", None, None, None, "Help"]
+    assert json.loads(single.rest) == {"navigation[0].weight": 51} and json.loads(scalar.rest) == {"navigation": "text"}
+    held = json.dumps([*leaves(rest), *leaves(row.asDict(recursive=True))])
+    assert [x for x in leaves(record) if str(x) not in held] == []
