@@ -386,6 +386,23 @@ MODEL = {
     "navigation[].region": ("nav_region", "string"),
     "navigation[].control": ("nav_control", "string"),
 }
+CONTAINERS = sorted({p.split(".")[0].removesuffix("[]") for p in MODEL if "." in p})
+
+
+def _beside_containers(known: dict[str, str]) -> dict[str, str]:
+    """Children of a container under each of its other names, where these are not known."""
+    names: dict[str, list[str]] = {}
+    for alias, canonical in known.items():
+        if canonical in CONTAINERS:
+            names.setdefault(canonical, []).append(alias)
+    found: dict[str, str] = {}
+    for alias, canonical in sorted(known.items(), key=lambda x: (x[1], x[0])):
+        holder, sign, child = alias.partition("[]." if "[]." in alias else ".")
+        for other in names.get(known.get(holder, ""), ()):
+            path = f"{other}{sign}{child}"
+            if sign and path not in known:
+                found.setdefault(path, canonical)
+    return found
 
 
 def alias_table(changes: DataFrame) -> DataFrame:
@@ -393,13 +410,13 @@ def alias_table(changes: DataFrame) -> DataFrame:
 
     Renames are followed in both directions, a step per round, until no name is new; the
     table is bounded by the distinct field names of declared parents. Each alias belongs
-    to one canonical name, the least.
+    to one canonical name, the least. Below a renamed container no rename is reported, so
+    what its children are called under one of its names they may be called under each.
     """
     spark = changes.sparkSession
     links = changes.where("change_kind = 'renamed'").select("field_path", "new_path").distinct()
     links = links.unionByName(links.select(F.col("new_path").alias("field_path"), F.col("field_path").alias("new_path"))).distinct()
-    containers = sorted({p.split(".")[0].removesuffix("[]") for p in MODEL if "." in p})
-    known = {p: p for p in [*MODEL, *containers]}
+    known = {p: p for p in [*MODEL, *CONTAINERS]}
     fresh = dict(known)
     while fresh:
         step = spark.createDataFrame([(a, c) for a, c in fresh.items()], "alias string, canonical string")
@@ -411,6 +428,9 @@ def alias_table(changes: DataFrame) -> DataFrame:
         )
         fresh = {r.new_path: r.canonical for r in found if r.new_path not in known}
         known |= fresh
+        beside = _beside_containers(known)
+        fresh |= beside
+        known |= beside
     return spark.createDataFrame([(c, a) for a, c in sorted(known.items())], "canonical string, alias string")
 
 
@@ -511,7 +531,7 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
                         continue
                     one = {}
                     for k2, v2 in entry.items():
-                        deep = aliases.get(f"{k}[].{k2}", f"navigation[].{k2}")
+                        deep = aliases.get(f"{k}[].{k2}", aliases.get(f"{name}[].{k2}", f"{name}[].{k2}"))
                         if deep in MODEL:
                             put(one, deep, v2, f"{place}.{deep.split('.')[1]}", f"{place}.{k2}")
                         else:

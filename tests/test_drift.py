@@ -104,3 +104,19 @@ def test_no_leaf_of_a_readable_record_is_lost(frame):
     assert json.loads(single.rest) == {"navigation[0].weight": 51} and json.loads(scalar.rest) == {"navigation": "text"}
     held = json.dumps([*leaves(rest), *leaves(row.asDict(recursive=True))])
     assert [x for x in leaves(record) if str(x) not in held] == []
+
+
+def test_container_and_label_both_renamed(frame):
+    old, both, third, more = (
+        [{"crawl_id": "cr_1", holder: [{name: "Orders", "to": "/a/1"}, {name: "Help", "to": "/a/2"}]}]
+        for holder, name in (("navigation", "label"), ("edges", "label"), ("edges", "linkLabel"), ("links", "linkLabel"))
+    )
+    back = [{"crawl_id": "cr_1", "navigation": [{"linkLabel": "Orders", "to": "/a/1"}, {"linkLabel": "Help", "to": "/a/2"}]}]
+    # In f the label is renamed below the new container; g learns of it under the declared
+    # one only, and its last file has a third container with the other name.
+    rows = lines("f", 1, old) + lines("f", 2, both) + lines("f", 3, third)
+    rows += lines("g", 1, old) + lines("g", 2, back) + lines("g", 3, more)
+    for some in (rows, [r for r in rows if r["feed"] == "f"], [r for r in rows if r["feed"] == "g"]):
+        out = drift.unified_records(frame("crawl_files", some)).collect()
+        assert [[n.nav_label for n in r.navigation] for r in out] == [["Orders", "Help"]] * len(some)
+        assert {r.rest for r in out} == {"{}"}
