@@ -8,6 +8,10 @@ ancestor is the number of its ancestor's entries begun so far.
 
 Definition levels: a repeated node adds one for a slot and one more for a non-null entry,
 so that null entries keep their place without becoming records.
+
+What of an entry is in no leaf and no nested table stands in its ``rest`` as JSON by path;
+what options and boxes leave is in the rest of their element. A leaf or list that is there
+but null or empty stands in rest too, an absent one does not.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ class Repeated:
     path: tuple[str, ...]
     leaves: tuple[str, ...]
     children: tuple[Repeated, ...] = ()
+    beside: tuple[tuple[str, ...], ...] = ()  # paths that other nodes hold
+    rest: bool = True
     level: int = 1
     parent: Repeated | None = field(default=None, repr=False)
 
@@ -37,6 +43,9 @@ class Repeated:
         for c in self.children:
             c.parent = self
             c.settle(self.level + 1)
+        self.lists = {*self.beside, *(c.path for c in self.children)}
+        self.known = {tuple(leaf.split(".")) for leaf in self.leaves} | self.lists
+        self.above = {p[:i] for p in self.known for i in range(1, len(p))}
 
     def settle(self, level: int):
         self.level = level
@@ -51,29 +60,36 @@ class Repeated:
 
 BOX = ("x", "y", "width", "height")
 CAPTURE = (
+    Repeated("capture", (), ("crawl_id", "schema_version", "config", "stats"), beside=(("navigation",), ("pages",))),
     Repeated("navigation", ("navigation",), ("from", "to", "label", "region", "control")),
     Repeated(
         "page",
         ("pages",),
-        ("url", "depth", "page.title"),
+        ("url", "depth", "page.title", "page.viewport"),
         (
+            Repeated("out_link", ("out_links",), ("url", "label", "region", "control")),
             Repeated(
                 "element",
                 ("page", "elements"),
-                ("dom_path", "category", "tag", "role", "accessible_name", "text", "bounding_box"),
-                (Repeated("option", ("options",), ("label", "value", "selected", "disabled")),),
+                ("dom_path", "category", "tag", "role", "accessible_name", "text", "states", "bounding_box"),
+                (Repeated("option", ("options",), ("label", "value", "selected", "disabled"), rest=False),),
             ),
         ),
     ),
 )
 NODES = {n.name: n for root in CAPTURE for n in root.walk()}
 TABLE_SCHEMA = {
-    "navigation": "`from` string, `to` string, label string, region string, control string",
-    "page": "url string, depth string, title string",
-    "element": "dom_path string, category string, tag string, role string, accessible_name string, text string",
+    "navigation": "`from` string, `to` string, label string, region string, control string, rest string",
+    "page": "url string, depth string, title string, viewport string, rest string",
+    "element": "dom_path string, category string, tag string, role string, accessible_name string, text string, states string, rest string",
     "option": "label string, value string, selected string, disabled string",
     "bounding_box": "x double, y double, width double, height double",
+    "capture": "crawl_id string, schema_version string, config string, stats string, rest string",
+    "out_link": "url string, label string, region string, control string, rest string",
 }
+#: Tables whose records problem 4 asks for.
+RECORDS = ("navigation", "page", "element", "option", "bounding_box")
+TOP = ("capture", "navigation", "page")
 
 
 def read_json(text: str | None):
@@ -145,10 +161,58 @@ def box(value) -> tuple | None:
     return (None,) * 4
 
 
+def box_left(value):
+    """What of a box its four numbers do not hold: its other fields, all of it, or None."""
+    value = opened(value)
+    if value is None or value in ("", {}, []):
+        return None
+    held = lambda v: v is None or number(v) is not None
+    if isinstance(value, dict):
+        parts = {p: value[p] for p in ("origin", "size") if isinstance(value.get(p), dict)}
+        left = {
+            k: v for k, v in value.items() if k not in parts and not (k in BOX and held(v) and not any(k in p for p in parts.values()))
+        }
+        for name, part in parts.items():
+            again = parts.get("size", {}) if name == "origin" else {}
+            left |= {f"{name}.{k}": v for k, v in part.items() if not (k in BOX and held(v) and k not in again)}
+        return left or None
+    parts = value.replace(",", " ").split() if isinstance(value, str) else value
+    return None if isinstance(parts, list) and len(parts) <= 4 and all(map(held, parts)) else value
+
+
+def left_of(node: Repeated, entry) -> dict:
+    """What of an entry is in no leaf and no nested node, by path."""
+    left: dict = {}
+
+    def keep(path: tuple[str, ...], v):
+        name = ".".join(path)
+        while name in left:
+            name += "~"
+        left[name] = v
+
+    def walk(value: dict, at: tuple[str, ...]):
+        for k, v in value.items():
+            path = (*at, k)
+            if path in node.known:
+                if v is None or (path in node.lists and v in ("", {}, [])):
+                    keep(path, v)
+                elif k == "bounding_box" and (more := box_left(v)) is not None:
+                    keep(path, more)
+            elif path in node.above and isinstance(inner := opened(v), dict) and inner:
+                walk(inner, path)
+            else:
+                keep(path, v)
+
+    if isinstance(entry, dict):
+        walk(entry, ())
+    return left
+
+
 class Columns:
-    """Striped leaf columns of a batch of bodies."""
+    """Striped leaf columns of a batch of bodies, and what is left of entries if wanted."""
 
-    def __init__(self):
+    def __init__(self, rest: bool = False):
+        self.rest = {n: [] for n in NODES} if rest else None
         self.levels = {n: ([], []) for n in NODES}  # repetition, definition; shared by a node's leaves
         self.values = {(n.name, leaf): [] for n in NODES.values() for leaf in n.leaves}
         self.bodies: list[int] = []
@@ -160,8 +224,12 @@ class Columns:
             ds.append(d)
             for leaf in n.leaves:
                 self.values[n.name, leaf].append(None)
+            if self.rest is not None:
+                self.rest[n.name].append(None)
 
-    def _stripe(self, node: Repeated, holder, r: int, d: int):
+    def _stripe(self, node: Repeated, holder, r: int, d: int) -> dict:
+        """Stripe a node's entries; returns what is left of them if it has no rest itself."""
+        handed: dict = {}
         slots = entries(reach(holder, node.path))
         if not slots:
             self._gap(node, r, d)
@@ -182,8 +250,15 @@ class Columns:
                 else:
                     got = as_text(reach(entry, tuple(leaf.split("."))))
                 self.values[node.name, leaf].append(got)
+            left = {} if self.rest is None else left_of(node, entry)
             for child in node.children:
-                self._stripe(child, entry, at, d + 2)
+                left |= self._stripe(child, entry, at, d + 2)
+            if self.rest is not None:
+                kept = left and node.rest
+                self.rest[node.name].append(json.dumps(left, ensure_ascii=False, sort_keys=True) if kept else None)
+                if left and not node.rest:
+                    handed |= {f"{'.'.join(node.path)}[{i}].{k}": v for k, v in left.items()}
+        return handed
 
     def add(self, body_id: int, body: str | None):
         """Stripe one body; an unreadable one leaves no trace."""
@@ -217,7 +292,7 @@ def assemble(columns: Columns, table: str) -> dict[str, list]:
         n = n.parent
     places = [_places(r, n.level)[at] for n in chain]
     body = (np.cumsum(r == 0) - 1)[at]
-    if table in ("navigation", "page"):
+    if table in TOP:
         refs = [""] * len(at)
     elif table == "bounding_box":
         refs = [columns.values["element", "dom_path"][i] or "" for i in at]
@@ -238,12 +313,14 @@ def assemble(columns: Columns, table: str) -> dict[str, list]:
             if leaf != "bounding_box":
                 values = columns.values[node.name, leaf]
                 out[leaf.split(".")[-1]] = [values[i] for i in at]
+        if columns.rest is not None and node.rest:
+            out["rest"] = [columns.rest[node.name][i] for i in at]
     return out
 
 
-def _shredded(batches, make):
+def _shredded(batches, make, rest: bool = False):
     for batch in batches:
-        columns = Columns()
+        columns = Columns(rest)
         for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             columns.add(i, body)
         yield from make(columns)
@@ -260,7 +337,7 @@ def capture_records(raw_captures: DataFrame) -> DataFrame:
     deliveries of a body give one set of rows; where they differ, all their records
     stand. A missing url or dom_path of the parent is ''. Empty tables give no rows.
     """
-    tables = list(TABLE_SCHEMA)
+    tables = RECORDS
     kind = pa.schema(
         [("capture_id", pa.int64()), ("child_table", pa.string()), ("child_key", pa.string()), ("parent_ref", pa.string())]
     )
@@ -310,9 +387,9 @@ def capture_table(raw_captures: DataFrame, table: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays(arrays, names=["capture_id", "child_key", "parent_ref", *names])
 
     flat = _bodies(raw_captures).mapInArrow(
-        lambda it: _shredded(it, make), f"capture_id bigint, child_key string, parent_ref string, {fields}"
+        lambda it: _shredded(it, make, True), f"capture_id bigint, child_key string, parent_ref string, {fields}"
     )
-    parent = "" if table in ("navigation", "page") else r"\.[0-9]+$"
+    parent = "" if table in TOP else r"\.[0-9]+$"
     parent_key = (
         F.col("child_key")
         if number_like

@@ -83,3 +83,23 @@ def test_tables_keep_the_parent(frame):
     assert [tuple(r) for r in shred.capture_table(table, "option").collect()] == [(9, "0.0.0", "0.0", "a", "o", None, None, None)]
     assert [tuple(r) for r in shred.capture_table(table, "bounding_box").collect()] == [(9, "0.0", "0.0", "a", 5.0, 2.0, None, None)]
     assert [r.parent_key for r in shred.capture_table(table, "element").collect()] == ["0"]
+
+
+def test_no_leaf_of_a_body_is_lost(frame):
+    option = {"label": "L1", "value": None, "hint": "h1", "selected": True}
+    element = {"dom_path": "d1", "role": None, "states": {"busy": True}, "data": {"k": ["v1"]}, "options": ["o1", option], "bounding_box": {"x": 11, "origin": {"y": 12, "z": 13}, "unit": "px"}}
+    page = {"title": "t1", "viewport": {"width": 1440}, "theme": "dark", "elements": [element, {"dom_path": "d2", "bounding_box": [1, 2, 3, 4, 15], "options": []}]}
+    links = [{"url": "/o1", "label": "ol", "rank": 21}, None, "/o2"]
+    body = {"crawl_id": "c1", "config": {"limit": 31}, "note": "n1", "navigation": [{"to": "/b", "weight": 41}], "pages": [{"url": "/p", "out_links": links, "score": 51, "page": page}, {"url": "/q", "page": "text page"}]}
+    table = frame("raw_captures", [{"capture_id": 1, "body": json.dumps(body)}])
+    got = {t: {r.child_key: r for r in shred.capture_table(table, t).collect()} for t in shred.TABLE_SCHEMA}
+    left = {t: {k: json.loads(r.rest or "{}") for k, r in rows.items()} for t, rows in got.items() if "rest" in shred.TABLE_SCHEMA[t]}
+    assert json.loads(got["page"]["0"].viewport) == {"width": 1440} and json.loads(got["element"]["0.0"].states) == {"busy": True}
+    assert left["page"] == {"0": {"score": 51, "page.theme": "dark"}, "1": {"page": "text page"}}
+    assert left["element"] == {
+        "0.0": {"role": None, "data": {"k": ["v1"]}, "options[1].value": None, "options[1].hint": "h1", "bounding_box": {"origin.z": 13, "unit": "px"}},
+        "0.1": {"bounding_box": [1, 2, 3, 4, 15], "options": []},
+    }
+    assert {k: (r.parent_key, r.parent_ref, r.url, r.rest) for k, r in got["out_link"].items()} == {"0.0": ("0", "/p", "/o1", '{"rank": 21}'), "0.2": ("0", "/p", "/o2", None)}
+    assert left["navigation"] == {"0": {"weight": 41}} and left["capture"] == {"0": {"note": "n1"}}
+    assert (got["capture"]["0"].crawl_id, got["capture"]["0"].config) == ("c1", '{"limit": 31}')
