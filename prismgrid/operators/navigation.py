@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,17 +173,17 @@ def orphan_screens(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
     return pages.withColumn("entry", entry).where("not entry").join(linked, ["crawl_id", "url"], "left_anti").select("crawl_id", "url", "depth")
 
 
-def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame, max_depth: int = 25) -> DataFrame:
+def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
     """Least number of clicks from each capture's entry pages (depth 0) to a screen.
 
     One round per click over the frontier only; each round's new screens are cut off
-    from their history through the shared checkpoint folder. Screens beyond
-    ``max_depth`` clicks and unreachable ones are absent.
+    from their history through the shared checkpoint folder. The search ends when a
+    round finds no new screen; unreachable ones are absent.
     """
     edges = checkpoint(current_edges(nav_edges).where("source <> target").select("crawl_id", "source", "target").distinct())
     seen = checkpoint(current_pages(page_nodes).where("depth = 0").select("crawl_id", "url", F.lit(0).alias("clicks")))
     frontier = seen
-    for step in range(1, max_depth + 1):
+    for step in count(1):
         frontier = checkpoint(
             frontier.join(edges.withColumnRenamed("source", "url"), ["crawl_id", "url"])
             .select("crawl_id", F.col("target").alias("url"))
@@ -190,9 +192,11 @@ def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame, max_depth: int = 25)
             .withColumn("clicks", F.lit(step))
         )
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        # A long chain takes many rounds; the plan of all of them is cut off now and then.
+        if step % 20 == 0:
+            seen = checkpoint(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
 
 
 def egress_ledger(nav_edges: DataFrame) -> DataFrame:

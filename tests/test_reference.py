@@ -217,3 +217,18 @@ def test_frames_origins_and_snapshots(spark, tmp_path):
     (tmp_path / "x").mkdir()
     assert runs.prune([str(tmp_path / "x"), str(tmp_path / "none")]) and (tmp_path / "x").exists()
     assert runs.prune([str(tmp_path / "x"), str(tmp_path / "none")], delete=True) == [str(tmp_path / "x")] and not (tmp_path / "x").exists()
+
+
+def test_clicks_along_a_chain_of_pages(frame):
+    links = [(i, i + 1) for i in range(45)] + [(i, i - 1) for i in range(1, 46)] + [(3, 8), (20, 2), (46, 47)]
+    url = lambda i: f"https://x.example/{i}"
+    pages = frame("page_nodes", [{"page_id": i, "crawl_id": "c", "url": url(i), "depth": i, "arrived_at": T(2025, 1, 1)} for i in range(48)])
+    edges = frame("nav_edges", [{"edge_id": i, "crawl_id": "c", "source": url(a), "target": url(b), "label": "go", "arrived_at": T(2025, 1, 1)} for i, (a, b) in enumerate(links)])
+    clicks, queue = {0: 0}, [0]
+    for node in queue:
+        for a, b in links:
+            if a == node and b not in clicks:
+                clicks[b] = clicks[node] + 1
+                queue.append(b)
+    assert max(clicks.values()) == 41
+    assert {r.url: r.clicks for r in navigation.bfs_depths(pages, edges).collect()} == {url(i): n for i, n in clicks.items()}
