@@ -6,7 +6,7 @@ import importlib
 
 _WHERE = {
     "operators.drift": "schema_changes lifespans file_footers unified_records alias_table",
-    "operators.orphans": "find_orphans orphan_report orphan_state merge_state",
+    "operators.orphans": "find_orphans orphan_report OrphanLog deliveries",
     "operators.snapshots": "snapshot_changes comparisons",
     "operators.shred": "capture_records capture_table",
     "operators.components": "fingerprints shared_components repeated_components components regions navigation_menus analysis_stats page_counts inventory_screens type_coverage unnamed_controls actions semantic_labels refine_labels",

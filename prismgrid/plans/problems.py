@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from prismgrid.operators import drift, orphans, shred, snapshots
+from prismgrid.session import shared_folder
 from prismgrid.sources.tables import table
 
 
@@ -31,6 +36,19 @@ def p2_report(spark, sf):
     return orphans.orphan_report(*_captures(spark, sf, "elements", "page_nodes", "nav_edges"))
 
 
+def p2_incremental(spark, sf):
+    """p2_found out of a log that took the deliveries in three parts by arrival."""
+    tables = _captures(spark, sf, "elements", "page_nodes", "nav_edges")
+    log = orphans.OrphanLog(spark, f"{shared_folder(spark)}/orphans-{uuid.uuid4().hex}")
+    first, last = tables[1].agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
+    at = F.coalesce(F.col("arrived_at"), F.lit(first))
+    part = sum([(at >= c).cast("int") for c in cuts], F.lit(0))
+    for k in range(len(cuts) + 1):
+        log.append(orphans.deliveries(*[t.where(part == k) for t in tables]))
+    return log.orphans().drop("resolved")
+
+
 def p3_found(spark, sf):
     changes = snapshots.snapshot_changes(*_captures(spark, sf, "crawls", "page_nodes", "elements"))
     return changes.drop("changed_fields")
@@ -55,6 +73,7 @@ QUERIES = {
     "p1_records": p1_records,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_incremental": p2_incremental,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
@@ -139,6 +158,7 @@ ch as (
   from nw n full join od o using (prev_crawl_id, crawl_id, record_type, url, frame, dom_path)
   where o.name is null or n.name is null or o.name <> n.name)
 """
+SQL["p2_incremental"] = SQL["p2_found"]
 SQL["p3_found"] = _CHANGES + "select distinct * from ch"
 SQL["p3_counts"] = (
     _CHANGES

@@ -19,12 +19,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and all its threads run
+    on this machine, as in tests; a cluster without the setting is refused.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismgrid-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()

@@ -1,42 +1,17 @@
-"""Pending orphan references as a keyed stateful stream.
-
-The state of a target key is the number of living records and, per kind of reference, the
-number that points at it: references probe it, an arrival resolves all that wait, the
-deletion of the last record reopens them. It emits signed changes of the number of
-orphans, so a plain sum gives the count at any time. The state is bounded by the kinds of
-references, not by their number.
-"""
+"""Orphan references of a stream of deliveries, kept in an orphan log."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "kind string, change bigint"
-STATE = "alive bigint, waiting string"
-
+from pyspark.sql.streaming import DataStreamWriter
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    alive, held = state.get if state.exists else (0, "{}")
-    refs = json.loads(held)
-    before = {k: n if alive <= 0 else 0 for k, n in refs.items()}
-    for rows in batches:
-        alive += int(rows.loc[rows["event"] == "arrived"].shape[0]) - int(rows.loc[rows["event"] == "deleted"].shape[0])
-        for kind, n in rows.loc[rows["event"] == "reference", "kind"].value_counts().items():
-            refs[kind] = refs.get(kind, 0) + int(n)
-    after = {k: n if alive <= 0 else 0 for k, n in refs.items()}
-    state.update((int(alive), json.dumps(refs)))
-    changes = [(k, after[k] - before.get(k, 0)) for k in sorted(after) if after[k] != before.get(k, 0)]
-    yield pd.DataFrame(changes, columns=["kind", "change"])
+from prismgrid.operators.orphans import OrphanLog
 
 
-def orphan_changes(events: DataFrame) -> DataFrame:
-    """Signed changes of orphan counts from a stream of (target, event, kind).
+def maintain(delivered: DataFrame, log: OrphanLog) -> DataStreamWriter:
+    """Bring every micro-batch of deliveries to the log, each exactly once.
 
-    ``event`` is ``reference`` (with its kind), ``arrived`` or ``deleted``.
+    ``delivered`` is a streaming union of :func:`prismgrid.operators.orphans.deliveries`.
+    A batch that is replayed after a failure has its number and is not counted again.
     """
-    return events.groupBy("target").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return delivered.writeStream.foreachBatch(lambda rows, number: log.append([rows], number))

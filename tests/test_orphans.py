@@ -1,3 +1,4 @@
+import random
 from datetime import datetime as T
 
 import pytest
@@ -63,18 +64,49 @@ def test_empty_and_null_rows(frame):
     assert cases(frame, [{}, {"element_id": 5, "controls": ["a"]}], [{}], [{}]) == set()
 
 
-@pytest.mark.parametrize("cut", [JAN, FEB])
-def test_state_of_two_batches_adds_up(frame, cut):
-    rows = [el(1, "a", FEB), el(2, "b", JAN, controls=["a"]), el(3, "c", FEB, controls=["a"]), el(4, "d", FEB, controls=["zz"])]
-    none = frame("page_nodes", []), frame("nav_edges", [])
-
-    def state(part):
-        e = frame("elements", part)
-        return orphans.orphan_state(orphans.references(e, none[1]), e, none[0])
-
-    whole = {tuple(r) for r in orphans.waiting(state(rows)).collect()}
-    parts = orphans.merge_state(state([r for r in rows if r["arrived_at"] < cut]), state([r for r in rows if r["arrived_at"] >= cut]))
-    assert {tuple(r) for r in orphans.waiting(parts).collect()} == whole and len(whole) == 2
+def generated(rng, n):
+    """Rows with repeated deliveries, corrections, deletions and late arrivals, in random order."""
+    day = lambda: T(2025, rng.randint(1, 4), rng.randint(1, 28))
+    gone = lambda: day() if rng.random() < 0.3 else None
+    rows, pages, edges = [], [], []
+    for _ in range(n):
+        path = lambda: rng.choice("abcdef")
+        rows.append(el(rng.randint(1, n // 2), path(), day(), deleted_at=gone(), controls=[path() for _ in range(rng.randint(0, 2))], owner_form=rng.choice(["a", "zz", None])))
+        pages.append({"page_id": rng.randint(1, 6), "crawl_id": "c", "url": f"https://x.example/{path()}", "arrived_at": day(), "deleted_at": gone()})
+        edges.append({"edge_id": rng.randint(1, n // 2), "crawl_id": "c", "target": f"https://x.example/{path()}", "arrived_at": day()})
+    return rows, pages, edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_cut_of_the_deliveries_gives_the_same_orphans(spark, frame, tmp_path, seed):
+    rng = random.Random(seed)
+    tables = generated(rng, 24)
+    log = orphans.OrphanLog(spark, str(tmp_path))
+    parts = rng.randint(2, 4)
+    turn = [[rng.randrange(parts) for _ in t] for t in tables]
+    for k in range(parts):
+        part = [[r for r, at in zip(t, ts, strict=True) if at == k] for t, ts in zip(tables, turn, strict=True)]
+        frames = [frame(name, rows) for name, rows in zip(("elements", "page_nodes", "nav_edges"), part, strict=True)]
+        log.append(orphans.deliveries(*frames), number=k)
+        log.append(orphans.deliveries(*frames), number=k)  # a replay changes nothing
+        if k == 1:
+            log.compact()
+    whole = cases(frame, *tables)
+    assert {tuple(r)[:5] for r in log.orphans().collect()} == whole and whole
+    report = orphans.orphan_report(*[frame(n, t) for n, t in zip(("elements", "page_nodes", "nav_edges"), tables, strict=True)])
+    assert sorted(map(tuple, log.counts().collect())) == sorted(map(tuple, report.collect()))
+
+
+def test_redelivered_page_with_a_deletion(spark, frame, tmp_path):
+    page = {"page_id": 1, "crawl_id": "c", "url": "https://x.example/p"}
+    log = orphans.OrphanLog(spark, str(tmp_path))
+    assert log.orphans().count() == 0
+    none = frame("elements", [])
+    log.append(orphans.deliveries(none, frame("page_nodes", [{**page, "arrived_at": JAN}]), frame("nav_edges", [])))
+    log.append(orphans.deliveries(none, frame("page_nodes", [{**page, "arrived_at": FEB, "deleted_at": FEB}]), frame("nav_edges", [])))
+    edge = {"edge_id": 1, "crawl_id": "c", "target": "https://x.example/p", "arrived_at": T(2025, 3, 1)}
+    log.append(orphans.deliveries(none, frame("page_nodes", []), frame("nav_edges", [edge])))
+    assert [tuple(r) for r in log.orphans().collect()] == [("nav_edges", "target", 1, "https://x.example/p", "2025-03", False)]
 
 
 def test_report_counts_resolved(frame):

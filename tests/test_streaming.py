@@ -3,6 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from prismgrid.operators.orphans import OrphanLog, deliveries
 from prismgrid.streaming import events, orphans, settle
 
 
@@ -47,18 +48,23 @@ def test_settled_pages(spark, tmp_path):
     assert {tuple(r) for r in got} == {("p", 2, "b", 2), ("q", 5, "x", 6)}
 
 
-def test_orphan_counts_follow_arrivals_and_deletions(spark, tmp_path):
+def test_orphans_of_a_stream_follow_arrivals_and_deletions(spark, tmp_path):
+    from prismgrid.schemas import TABLES
+
+    page = {"page_id": 1, "crawl_id": "c", "url": "https://x.example/p"}
     steps = [
-        [("t", "reference", "controls"), ("t", "reference", "controls"), ("u", "arrived", None), ("u", "reference", "owner_form")],
-        [("t", "arrived", None)],
-        [("t", "deleted", None), ("u", "deleted", None)],
+        ("nav_edges", {"edge_id": 1, "crawl_id": "c", "target": "https://x.example/p/", "arrived_at": "2025-02-01T00:00:00"}),
+        ("page_nodes", {**page, "arrived_at": "2025-01-05T00:00:00"}),
+        ("page_nodes", {**page, "arrived_at": "2025-01-07T00:00:00", "deleted_at": "2025-01-08T00:00:00"}),
     ]
-    (tmp_path / "ev").mkdir()
-    stream = spark.readStream.schema("target string, event string, kind string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "ev"))
-    totals = []
-    for n in range(1, 4):
-        write(tmp_path / "ev", n, [dict(zip(("target", "event", "kind"), r, strict=True)) for r in steps[n - 1]])
-        events.run_to_end(orphans.orphan_changes(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-        out = spark.read.schema("kind string, change bigint").parquet(str(tmp_path / "out")).groupBy("kind").agg(F.sum("change").alias("n"))
-        totals.append({r.kind: r.n for r in out.collect() if r.n})
-    assert totals == [{"controls": 2}, {}, {"controls": 2, "owner_form": 1}]
+    names = ("elements", "page_nodes", "nav_edges")
+    for name in names:
+        (tmp_path / name).mkdir()
+    log, found = OrphanLog(spark, str(tmp_path / "log")), []
+    for n, (name, row) in enumerate(steps):
+        write(tmp_path / name, n, [row])
+        a, b, c = deliveries(*[spark.readStream.schema(TABLES[t]).json(str(tmp_path / t)) for t in names])
+        query = orphans.maintain(a.unionByName(b).unionByName(c), log).option("checkpointLocation", str(tmp_path / "state"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        found.append(log.orphans().count())
+    assert found == [1, 0, 1]
