@@ -1,4 +1,8 @@
+import numpy as np
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from prismgrid.llm import quality
 from prismgrid.sources.tables import table
@@ -46,6 +50,52 @@ def test_statistics(frame):
     assert r.punctuated_lines == 0.5 and r.common_share == pytest.approx(4 / 7)
 
 
+def test_published_rules_are_recorded(frame):
+    texts = {
+        1: "The report was sent to the team, and it is on the page that we have. " * 5,
+        2: "- a\n- b\n- c",
+        3: "Wait for it...\nAnd then that...",
+        4: "# # # {x}",
+        5: "the same line of the page\n" * 4,
+        6: None,
+    }
+    got = {r.doc_id: set(r.published) for r in kinds(frame, [{"doc_id": i, "text": t} for i, t in texts.items()])}
+    assert got[1] == set() and got[6] == set()
+    assert {"bullet_lines_0.9", "two_stop_words", "punctuated_lines_0.12", "short_lines_0.67", "word_count_50_to_100000"} <= got[2]
+    assert "ellipsis_lines_0.3" in got[3] and {"curly_bracket", "hash_or_ellipsis_per_word_0.1"} <= got[4]
+    assert {"duplicate_lines_0.3", "duplicate_line_characters_0.2"} <= got[5]
+
+
+PIECES = ["the", "Über", "don't", "a.b", " ", "  ", "\n", "\r\n", "\u2028", "https://x.example/a-b", "日本", "123", "...", "!", "|", "e\u0301"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=1, max_size=5))
+def test_counts_against_patterns(texts):
+    common = {"the", "über"}
+    got = quality.measure(texts, quality._known(tuple(sorted(common))))
+    word = regex.compile(r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*")
+    for i, text in enumerate(texts):
+        words = word.findall(regex.sub(r"https?://[^ \t\n\x0b\f\r]+", " ", text))
+        lines = [x for x in regex.split(r"[\n\r\x0b\x0c\x85\u2028\u2029]", text) if regex.search(r"[^\s\p{Z}\p{C}]", x)]
+        grams = [tuple(words[k : k + 4]) for k in range(len(words) - 3)] if len(words) >= 12 else []
+        assert (got["n_words"][i], got["n_lines"][i]) == (len(words), len(lines))
+        assert got["common_share"][i] == pytest.approx(sum(w.lower() in common for w in words) / max(1, len(words)))
+        assert got["mean_word_length"][i] == pytest.approx(sum(map(len, words)) / max(1, len(words)))
+        assert got["duplicate_lines"][i] == pytest.approx((len(lines) - len(set(lines))) / max(1, len(lines)))
+        if grams:
+            assert got["distinct_share"][i] == pytest.approx(len(set(grams)) / len(grams))
+
+
+def test_slices_and_long_texts_give_the_same(monkeypatch):
+    texts = ["- a\n- b", "", "The cat is on it. " * 40, "x" * 90, "a,b,c\nd,e,f"]
+    whole = quality.measure(texts, quality._known(("the",)))
+    monkeypatch.setattr(quality, "SLICE_POINTS", 50)
+    parts = [quality.measure(t, quality._known(("the",))) for _, t in quality._slices(list(range(5)), texts)]
+    for name, values in whole.items():
+        assert np.array_equal(np.concatenate([p[name] for p in parts]), values, equal_nan=True), name
+
+
 def test_null_blank_repeated_long_and_empty(frame):
     rows = [{"doc_id": 1}, {"doc_id": 2, "text": ""}, {"doc_id": 3, "text": " \n\t"}, {"doc_id": 4, "text": "x"}, {"doc_id": 4, "text": "x"}, {"text": "The end of it is that."}]
     assert [r.kind for r in kinds(frame, rows)] == ["prose"] * 6
