@@ -3,13 +3,16 @@
 The symbols of all words of a batch that were not met before lie in one flat array. A
 round finds each adjacent pair in the sorted pair keys by binary search, takes the lowest
 rank of each word by one segmented minimum and merges all its occurrences at once; words
-without a pair left drop out. Encoded words stay in a bounded memory of the worker.
+without a pair left drop out. Encoded words stay in a bounded memory of the worker. A word
+of LONG bytes or more would need as many rounds as it has different merges; its pairs
+wait in a heap by rank and place instead, which gives the same ids in n log n steps.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ WORDS = (
 MEMORY = 400_000
 #: Rows encoded together.
 SLICE = 512
+#: Bytes from which a word is merged by a heap; ids are the same either way.
+LONG = 300
 _NONE = np.iinfo(np.int64).max
 
 
@@ -53,6 +58,7 @@ class Encoder:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = rank
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.split = regex.compile(WORDS).findall
@@ -64,6 +70,38 @@ class Encoder:
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one word: the pair of lowest rank, leftmost first, until none is left."""
+        symbols = self.bytes[np.frombuffer(word, np.uint8)]
+        n, pairs = len(symbols), self.pairs
+        keys = symbols[:-1] << 20 | symbols[1:]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == keys)
+        # An entry is rank and place in one number; it is stale once its pair has changed.
+        heap = (self.ranks[at[known]] << 32 | known).tolist()
+        heapq.heapify(heap)
+        symbols = symbols.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = heapq.heappop(heap)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            j = after[i]
+            if symbols[i] < 0 or j >= n or pairs.get(symbols[i] << 20 | symbols[j]) != rank:
+                continue
+            symbols[i], symbols[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                new = pairs.get(rank << 20 | symbols[k])
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | i)
+            h = before[i]
+            if h >= 0:
+                new = pairs.get(symbols[h] << 20 | rank)
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | h)
+        return [s for s in symbols if s >= 0]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and the number of ids of each word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -106,7 +144,15 @@ class Encoder:
         known = self.known
         fresh = [w for w in dict.fromkeys(w for doc in words for w in doc) if w not in known]
         if fresh:
-            ids, sizes = self.merge([w.encode() for w in fresh])
+            data = [w.encode() for w in fresh]
+            ids, sizes = self.merge([w if len(w) < LONG else b"" for w in data])
+            long = [k for k, w in enumerate(data) if len(w) >= LONG]
+            if long:
+                parts = np.split(ids, np.cumsum(sizes)[:-1])
+                for k in long:
+                    parts[k] = np.array(self.merge_long(data[k]), np.int32)
+                    sizes[k] = len(parts[k])
+                ids = np.concatenate(parts)
             starts = len(self.flat) + np.cumsum(sizes) - sizes
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.flat = np.concatenate([self.flat, ids])
@@ -132,9 +178,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file."""
-    return Encoder(path)
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's encoder of a vocabulary file; without a path that of this machine's package."""
+    return Encoder(path or vocabulary_path())
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +194,9 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
     Null and empty texts give the empty list; strings of special tokens are ordinary
     text. Every row gives one row, repeated ids and null ids too; texts are encoded
-    whole. Further columns are ignored.
+    whole. Further columns are ignored. A ``path`` must be the same on all machines; without
+    one each worker finds the vocabulary in its own installed package.
     """
-    path = path or vocabulary_path()
 
     def encode(batches):
         for batch in _slices(batches):
@@ -163,7 +209,6 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; null and empty texts count 0."""
-    path = path or vocabulary_path()
 
     def count(batches):
         for batch in _slices(batches):

@@ -4,7 +4,8 @@ Blocks of tokens go to the source with the highest quotient weight / (2 * seats
 until no block is left; a source whose documents are used up at the most repeats allowed
 takes no further block. A source's blocks are whole passes over all its documents plus a
 rest, which is apportioned the same way to hashed shards of the source. Each shard takes
-documents in seeded order up to its quota, so no task orders more than one shard.
+documents in seeded order as long as its quota holds them whole, then the one document of
+the others that comes nearest to what is left. No task orders more than one shard.
 """
 
 from __future__ import annotations
@@ -124,12 +125,20 @@ def mix_sources(
             for (shard, _), blocks in zip(sizes, extra, strict=True):
                 plan.append((mix, t.source, shard, passes, blocks * BLOCK if passes < t.r else 0))
     quotas = spark.createDataFrame(plan, "mix_id int, source string, shard int, passes int, quota bigint")
-    order = W.partitionBy("mix_id", "source", "shard").orderBy(F.xxhash64("doc_id", "mix_id", F.lit(seed)), "doc_id")
-    upto = F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0))
-    once_more = F.when(upto - F.col("n_tokens") / 2 <= F.col("quota"), 1).otherwise(0)
+    shard = W.partitionBy("mix_id", "source", "shard")
+    turn = F.struct(F.xxhash64("doc_id", "mix_id", F.lit(seed)).alias("h"), "doc_id")
+    upto = F.sum("n_tokens").over(shard.orderBy(turn).rowsBetween(W.unboundedPreceding, 0))
+    held = F.coalesce(F.max(F.when(F.col("upto") <= F.col("quota"), F.col("upto"))).over(shard), F.lit(0))
+    off = F.abs(F.col("n_tokens") - F.col("gap"))
+    nearest = F.when((F.col("upto") > F.col("quota")) & (off < F.col("gap")), F.struct(off.alias("off"), turn.alias("turn")))
+    taken = (F.col("upto") <= F.col("quota")) | F.coalesce(F.col("near") == F.col("nearest"), F.lit(False))
     choice = (
         placed.join(quotas.where("passes > 0 or quota > 0"), ["source", "shard"])
-        .withColumn("repeats", F.col("passes") + once_more)
+        .withColumn("upto", upto)
+        .withColumn("gap", F.col("quota") - held)
+        .withColumn("near", nearest)
+        .withColumn("nearest", F.min("near").over(shard))
+        .withColumn("repeats", F.col("passes") + taken.cast("int"))
         .where("repeats > 0")
         .select("mix_id", "doc_id", "source", "repeats", "n_tokens")
     )

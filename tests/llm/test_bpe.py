@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +40,24 @@ def test_long_and_odd_texts(both):
     assert encoded(both[0], texts) == [both[1].encode_ordinary(t or "") for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeé日'-_0=", max_size=60), min_size=1, max_size=4))
+def test_heap_and_rounds_give_the_same(both, texts):
+    words = [w.encode() for w in texts if w]
+    ids, sizes = both[0].merge(words)
+    assert [both[0].merge_long(w) for w in words] == [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])][: len(words)]
+
+
+def test_a_word_of_a_megabyte(both):
+    rng = random.Random(2)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=1_000_000))
+    began = time.time()
+    (got,) = encoded(both[0], [word])
+    assert time.time() - began < 60
+    assert got == both[1].encode_ordinary(word)
+    both[0].forget()
+
+
 def test_memory_is_bounded(both, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 3)
     for text in ("one two three four five", "six seven", "one two"):
