@@ -1,8 +1,8 @@
 """Skip-chain conditional random field over tokens, in numpy.
 
 Texts of one batch are padded to one array. Neighbours share transition potentials;
-tokens of one text that repeat or resemble an earlier one share a potential with it that
-favours the same kind. Marginals come from loopy message passing: exact passes along the
+tokens of one text that repeat another share a potential with it that favours the same
+kind, with a weight for each kind. Marginals come from loopy message passing: exact passes along the
 chains alternate with damped messages over the skip edges.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 IMPOSSIBLE = -1e4
+#: Least probability of a message.
+TINY = 1e-300
 #: Rounds of messages over skip edges, and the part of the old message that is kept.
 ROUNDS, DAMPING = 4, 0.5
 
@@ -35,9 +37,14 @@ class SkipChain:
         self.first = np.where(np.arange(n) % 2 == 0, IMPOSSIBLE, 0.0)
         self.first[0] = 0.0
         self.same = (self.kind_of[:, None] == self.kind_of[None, :]).astype(float)
+        #: Weight of agreement on each kind, the outside first.
+        self.agree = np.zeros(len(kinds) + 1)
         self.weights = np.zeros((n_features, n))
         self.steps = np.zeros((n, n))
-        self.skip = 0.5
+
+    def bond(self) -> np.ndarray:
+        """Potentials of a skip edge's pair of labels."""
+        return self.same * self.agree[self.kind_of]
 
     def scores(self, features: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Padded label scores [text, token, label] from the active features of each token."""
@@ -51,18 +58,29 @@ class SkipChain:
         return out, lengths
 
     def _chain(self, unary: np.ndarray, lengths: np.ndarray):
-        """Forward and backward log messages of all chains at once."""
-        n, t, k = unary.shape
-        move = self.steps + self.closed
-        ahead = np.empty_like(unary)
-        behind = np.zeros_like(unary)
-        ahead[:, 0] = unary[:, 0] + self.first
+        """Forward and backward log messages of all chains at once, each up to a constant.
+
+        The passes run on probabilities that are scaled at every token.
+        """
+        t = unary.shape[1]
+        move = np.exp(self.steps + self.closed)
+        here = np.exp(unary - unary.max(2, keepdims=True))
+        ahead, behind = np.empty_like(unary), np.ones_like(unary)
+        now = here[:, 0] * np.exp(self.first)
+        ahead[:, 0] = now
         for i in range(1, t):
-            ahead[:, i] = logsumexp(ahead[:, i - 1, :, None] + move, 1) + unary[:, i]
+            now = (now @ move) * here[:, i]
+            now /= now.sum(1, keepdims=True)
+            ahead[:, i] = now
+        back = move.T
         for i in range(t - 2, -1, -1):
-            step = logsumexp(move[None] + (unary[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
-            behind[:, i] = np.where((i + 1 < lengths)[:, None], step, 0.0)
-        return ahead, behind
+            step = (behind[:, i + 1] * here[:, i + 1]) @ back
+            step /= step.sum(1, keepdims=True)
+            behind[:, i] = step
+            short = lengths <= i + 1
+            if short.any():
+                behind[short, i] = 1.0
+        return np.log(np.maximum(ahead, TINY)), np.log(np.maximum(behind, TINY))
 
     def infer(self, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarray):
         """Beliefs by loopy message passing; edges are rows (text, token, later token).
@@ -73,7 +91,7 @@ class SkipChain:
         k = unary.shape[2]
         if not len(edges):
             return unary, *self._chain(unary, lengths), np.zeros((0, k, k))
-        bond = self.skip * self.same
+        bond = self.bond()
         text, a, b = edges.T
         to_a, to_b = np.zeros((len(edges), k)), np.zeros((len(edges), k))
         for _ in range(ROUNDS):
@@ -125,7 +143,7 @@ class SkipChain:
 
     def fit(self, features, edges: np.ndarray, labels: list[list[int]], steps: int = 60, rate: float = 0.05, pull: float = 0.5):
         """Gradient steps on the likelihood; weights are pulled to where they start."""
-        anchors = [self.weights.copy(), self.steps.copy(), np.array([self.skip])]
+        anchors = [self.weights.copy(), self.steps.copy(), self.agree.copy()]
         flat = np.fromiter((f for t in features for token in t for f in token), np.int64)
         owner = np.repeat(
             np.arange(sum(len(t) for t in features)), [len(token) for t in features for token in t]
@@ -151,13 +169,29 @@ class SkipChain:
                 g_steps -= np.exp(both).sum(0)
             for x in labels:
                 np.add.at(g_steps, (x[:-1], x[1:]), 1)
-            agree = sum(self.same[labels[t][a], labels[t][b]] for t, a, b in edges.tolist())
-            g_skip = np.array([agree - (np.exp(pair) * self.same).sum()])
-            now = [self.weights, self.steps, np.array([self.skip])]
-            for i, (x, g, anchor) in enumerate(zip(now, (g_weights, g_steps, g_skip), anchors, strict=True)):
+            g_agree = np.zeros_like(self.agree)
+            for t, a, b in edges.tolist():
+                if self.same[labels[t][a], labels[t][b]]:
+                    g_agree[self.kind_of[labels[t][a]]] += 1
+            np.subtract.at(g_agree, self.kind_of, (np.exp(pair) * self.same).sum((0, 1)))
+            now = [self.weights, self.steps, self.agree]
+            for i, (x, g, anchor) in enumerate(zip(now, (g_weights, g_steps, g_agree), anchors, strict=True)):
                 g = g - pull * (x - anchor)
                 mean[i] = 0.9 * mean[i] + 0.1 * g
                 square[i] = 0.99 * square[i] + 0.01 * g * g
                 x += rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
-            self.skip = float(now[2][0])
         return self
+
+    def stays_outside(self, unary: np.ndarray) -> bool:
+        """Whether a chain of any length, all of whose tokens have these scores, is best all O.
+
+        The gain of every path of labels over the path of O is bounded by the longest
+        paths over the labels, which exist unless a cycle gains.
+        """
+        gain = self.steps + self.closed + unary[None, :] - self.steps[0, 0] - unary[0]
+        best = gain.copy()
+        for k in range(len(unary)):
+            best = np.maximum(best, best[:, k, None] + best[None, k, :])
+        start = self.first + unary - unary[0]
+        inner = np.maximum(start, (start[:, None] + best).max(0))
+        return bool((np.diag(best) <= 0).all() and (inner[1:] < 0).all())

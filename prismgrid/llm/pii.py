@@ -1,10 +1,14 @@
 """Personal information in free text, found by a skip-chain conditional random field.
 
 Tokens carry features: shapes of addresses and numbers that cover them, captions beside
-them, known names and parts of names, titles. The field's weights start from stated
-values and are fitted to the labelled samples. Texts without any feature that speaks for
-an item are all outside under every weight vector in use and skip the inference; texts
-met before by a worker are answered from its bounded memory.
+them, known names and parts of names, titles, and how a capitalised unknown word stands to
+these. The field's weights start from stated values and are fitted to the labelled
+samples. A word that has any sign of a name is linked with its other mentions in the text,
+however far: so an unknown name after a title, which alone is left out (many things are
+called "Mr. Something"), is found with the bare mentions that follow it. A text whose
+tokens have no feature at all skips the inference if the fitted weights keep every such
+chain outside, which is proven once per fit; texts met before by a worker are answered
+from its bounded memory.
 """
 
 from __future__ import annotations
@@ -22,15 +26,14 @@ from prismgrid.llm.crf import SkipChain
 from prismgrid.session import spread
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
-#: The most labelled tokens' texts and names that are fitted to, by least id.
-MAX_SAMPLES, MAX_NAMES = 5000, 20000
+#: The most labelled rows that are fitted to, by least id.
+MAX_SAMPLES = 5000
+#: Known names are all taken along to the workers; a table of more rows is refused.
+MOST_NAMES = 5_000_000
 #: Texts a worker remembers; beyond, its memory is emptied.
 MEMORY = 200_000
-#: Texts inferred together, sorted by length.
-BATCH = 256
-#: Longest chain: longer texts are cut at white space between such windows' tokens, and no
-#: item that the shapes see is cut.
-WINDOW = 400
+#: Texts inferred together, sorted by length, and their tokens with padding.
+BATCH, BATCH_TOKENS = 256, 1 << 16
 
 TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|[^\s]")
 _TOWN = r"(?-i:\p{Lu})[\p{L}'’-]+(?:[ -](?-i:\p{Lu})[\p{L}'’-]+){0,2}"
@@ -54,7 +57,7 @@ SHAPES = {
     "street_before": ("street_address", rf"(?<![\p{{L}}\p{{N}}])(?:[\p{{L}}-]+(?:straße|strasse|str\.|weg|allee|gasse|platz|damm|ufer|steig)|(?:am|im|an der|an den|auf dem|zum|zur) \p{{L}}+(?: \p{{L}}+)?|(?:calle|avenida|plaza|paseo) (?:\p{{L}}+ ){{0,3}}?\p{{L}}+,?) \d{{1,4}}(?: ?\p{{Ll}}(?!\p{{L}}))?(?:, \d{{5}} {_TOWN})"),
 }
 _SHAPES = [(n, k, regex.compile(p, regex.IGNORECASE)) for n, (k, p) in SHAPES.items()]
-#: Words beside a number: fixed values, compared after `folded`.
+#: Words beside a number: fixed values, compared by `near_words`.
 CAPTIONS = {
     "caption_id": "ssn sec social ni nino insurance national nat personal citizen identity id passport passeport tax card steuer ausweis",
     "caption_phone": "tel phone telephone call ring callback reachable answers rappeler mobile fax telefon fon",
@@ -63,13 +66,34 @@ CAPTIONS = {
 TITLES = "mr mrs ms miss dr prof frau herr mme mlle señor señora sr sra monsieur madame"
 
 
-def folded(word: str) -> str:
-    """Case and the commonest slip of vowels don't matter to names and captions."""
-    return word.casefold().replace("e", "a")
+def _open(word: str):
+    """The word with one letter left open: any of five letters or more, else a vowel."""
+    for i, c in enumerate(word):
+        if len(word) >= 5 or c in "aeiou":
+            yield f"{word[:i]}?{word[i + 1:]}"
 
 
-_CAPTIONS = {folded(w): name for name, words in CAPTIONS.items() for w in words.split()}
-_TITLES = {folded(w) for w in TITLES.split()}
+def near_words(words: dict[str, str]) -> dict[str, str]:
+    """Words with their meaning, also with one letter left open."""
+    return {x: m for w, m in words.items() for x in _open(w)} | words
+
+
+def near(word: str, words: dict[str, str]) -> str:
+    """Meaning of a word, or of one that differs in one letter (a vowel, if short); else ''."""
+    w = word.casefold()
+    if w in words:
+        return words[w]
+    if 3 <= len(w) <= LONGEST_FIXED:
+        for x in _open(w):
+            if x in words:
+                return words[x]
+    return ""
+
+
+_CAPTIONS = near_words({w: name for name, words in CAPTIONS.items() for w in words.split()})
+_TITLES = dict.fromkeys(TITLES.split(), "title")
+#: Letters of the longest of the fixed words.
+LONGEST_FIXED = max(map(len, [*_CAPTIONS, *_TITLES]))
 
 
 class Names:
@@ -80,26 +104,35 @@ class Names:
         self.whole: dict[str, str] = {}
         self.parts = {}
         for kind in ("given", "family"):
-            words = sorted({folded(n) for n, k in known if k == kind and n})
+            words = sorted({n.casefold() for n, k in known if k == kind and n})
             self.whole.update(dict.fromkeys(words, kind))
             ends = Counter(w[i:] for w in words for i in range(2, len(w) - 2))
             ends = {e for e, n in ends.items() if n >= 3}
             heads = Counter(w[:i] for w in words for i in range(2, len(w) - 2) if w[i:] in ends)
             self.parts[kind] = ({h for h, n in heads.items() if n >= 2}, ends)
+        self.measure()
+
+    def measure(self) -> None:
+        """Letters of the longest head and end of each kind, which bound the search for parts."""
+        self.most = {k: tuple(max(map(len, part), default=0) for part in parts) for k, parts in self.parts.items()}
+
+    def _alike(self, w: str) -> str:
+        for kind, (heads, ends) in self.parts.items():
+            head, end = self.most[kind]
+            for x in (w, w.removesuffix("s")):
+                for i in range(max(2, len(x) - end), min(head + 1, len(x) - 2)):
+                    if x[:i] in heads and x[i:] in ends:
+                        return f"{kind}_like"
+        return ""
 
     def evidence(self, word: str) -> str:
         """'given', 'family', 'given_like', 'family_like' or ''."""
         got = self.memory.get(word)
         if got is None:
-            w = folded(word)
+            w = word.casefold()
             if w.endswith("s") and w not in self.whole and w[:-1] in self.whole:
                 w = w[:-1]
-            got = self.whole.get(w, "")
-            if not got and 5 <= len(w) <= 16:
-                for kind, (heads, ends) in self.parts.items():
-                    if any(x[:i] in heads and x[i:] in ends for x in (w, w.removesuffix("s")) for i in range(2, len(x) - 2)):
-                        got = f"{kind}_like"
-                        break
+            got = self.whole.get(w, "") or self._alike(w)
             if len(self.memory) > MEMORY:
                 self.memory.clear()
             self.memory[word] = got
@@ -111,7 +144,8 @@ FEATURES: list[str] = [
     *[f"{n}:{at}" for n in SHAPES for at in "BI"],
     *[f"{c}:{k}" for c in CAPTIONS for k in ("phone", "id_number")],
     "given", "family", "given_like", "family_like", "after_title", "initial_first", "initial_inside",
-    "initial_dot", "name_comma", "name_hyphen", "after_name", "outside_name", "title", "digits",
+    "initial_dot", "name_comma", "name_hyphen", "after_name", "title", "short_low",
+    "title_unknown", "given_unknown",
 ]
 _ID = {f: i for i, f in enumerate(FEATURES)}
 #: Where the weights start: feature -> {label: weight}. The fit is pulled to these values.
@@ -138,7 +172,15 @@ START: dict[str, dict[str, float]] = {
     "name_hyphen": {"I-person_name": 6},
     "after_name": {"I-person_name": 1, "B-person_name": -2},
     "title": {"B-person_name": -6, "I-person_name": -6},
+    # A short known name in small letters may be an ordinary word.
+    "short_low": {"B-person_name": -3, "I-person_name": -1},
+    # Capitalised words that are no known names, after a title or a known given name. The
+    # first is not enough alone.
+    "title_unknown": {"B-person_name": 6},
+    "given_unknown": {"I-person_name": 7, "B-person_name": -2},
 }
+#: Where the weights of agreement start, by kind; the outside has none.
+START_AGREE = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "street_address": 0.5, "person_name": 12.0}
 
 
 def spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -164,6 +206,7 @@ class Tagger:
         for f, weights in START.items():
             for label, w in weights.items():
                 self.field.weights[_ID[f], self.field.labels.index(label)] = w
+        self.field.agree[1:] = [START_AGREE[k] for k in KINDS]
         self.memory: dict[str, list] = {}
         texts: dict = {}
         for sample, text, kind, start, end in samples:
@@ -171,7 +214,7 @@ class Tagger:
                 texts.setdefault((sample, text), []).append((kind, start, end))
         features, edges, labels = [], [], []
         for (_, text), items in texts.items():
-            tokens, got, links, _ = self.read(text)
+            tokens, got, links = self.read(text)
             if not tokens:
                 continue
             y = np.zeros(len(tokens), np.int64)
@@ -185,44 +228,46 @@ class Tagger:
             labels.append(y.tolist())
         if features:
             self.field.fit(features, np.array(edges, np.int64).reshape(-1, 3), labels)
+        #: Whether texts without any feature are all outside, as the weights are.
+        self.quiet = self.field.stays_outside(self.field.weights[_ID["token"]])
 
     def read(self, text: str):
-        """Tokens, their features, skip edges, and whether anything speaks for an item."""
+        """Tokens, their features and skip edges."""
         matches = list(TOKEN.finditer(text))
         tokens = [m.span() for m in matches]
         words = [m.group() for m in matches]
         n = len(words)
         low = [w.casefold() for w in words]
-        evidence = [self.names.evidence(w) if len(w) > 3 else "" for w in words]
+        evidence = [self.names.evidence(w) if w[0].isalpha() else "" for w in words]
         out = [[0] for _ in words]
         covered = spans(text)
         starts = [a for a, _ in tokens]
-        in_email = set()
+        in_email, in_shape = set(), set()
         for a, b, name, kind in covered:
             first = np.searchsorted(starts, a, "right") - 1
             last = np.searchsorted(starts, b, "left")
             caption = None
             if kind in ("phone", "id_number"):
-                near = [folded(w) for w in words[max(0, first - 5) : first]]
-                seen = [_CAPTIONS[w] for w in near if w in _CAPTIONS]
-                after = [_CAPTIONS.get(folded(w)) for w in words[last : last + 3]]
+                seen = [c for w in words[max(0, first - 5) : first] if (c := near(w, _CAPTIONS))]
+                after = [near(w, _CAPTIONS) for w in words[last : last + 3]]
                 caption = seen[-1] if seen else "caption_other" if "caption_other" in after else None
             for i in range(first, last):
                 out[i].append(_ID[f"{name}:{'B' if i == first else 'I'}"])
                 if caption:
                     out[i].append(_ID[f"{caption}:{kind}"])
+                in_shape.add(i)
                 if kind == "email":
                     in_email.add(i)
         namey = [e if i not in in_email else "" for i, e in enumerate(evidence)]
         single = [len(w) == 1 and w.isalpha() and i + 1 < n and words[i + 1] == "." and tokens[i + 1][0] == tokens[i][1] for i, w in enumerate(words)]
 
         def title(i: int) -> bool:
-            if folded(words[i]) in _TITLES:
+            if low[i] in _TITLES:
                 return True
-            # A lone M. is a title before a given name or an initial, and after "contact".
+            # A lone M. is a title before a given name or an initial.
             full = i + 2 < n and (namey[i + 2].startswith("given") or single[i + 2])
             before = i and (namey[i - 1] or (i > 1 and low[i - 1] == "." and single[i - 2] and low[i - 2] != "m"))
-            return low[i] == "m" and single[i] and not before and bool(full or (i and low[i - 1] == "contact"))
+            return low[i] == "m" and single[i] and not before and full
 
         titles = [title(i) for i in range(n)]
         for i in range(n):
@@ -253,16 +298,33 @@ class Tagger:
                     out[i + 1].append(_ID["after_name"])
             elif words[i] == "-" and 0 < i < n - 1 and namey[i - 1] and namey[i + 1] and tokens[i + 1][0] == tokens[i][1]:
                 out[i].append(_ID["name_hyphen"])
-        links, met = [], {}
-        for i, w in enumerate(low):
-            if len(w) >= 4 and w.isalpha():
-                for key in (w, w[:5] + "…"):
-                    if key in met:
-                        links.append((met[key], i))
-                        break
-                met[w] = met[w[:5] + "…"] = i
-        speaks = bool(covered) or any(namey)
-        return tokens, out, links, speaks
+            if namey[i] and len(words[i]) <= 3 and not words[i][0].isupper():
+                out[i].append(_ID["short_low"])
+        signs = {i for i in range(n) if namey[i] and i not in in_shape}
+        # Capital letters say something only where most words have none.
+        small = sum(w[0].islower() for w in words if len(w) > 2 and w[0].isalpha())
+        plain = [len(w) > 1 and w[0].isupper() and w[1:].islower() and not namey[i] and i not in in_shape for i, w in enumerate(words)]
+        if 2 * small < sum(len(w) > 2 and w[0].isalpha() for w in words):
+            plain = [False] * n
+        for i in np.flatnonzero(plain).tolist():
+            before = i - 2 if i and words[i - 1] == "." else i - 1
+            if before >= 0 and titles[before] and words[before][0].isupper():
+                out[i].append(_ID["title_unknown"])
+            elif i and namey[i - 1] == "given" and i - 1 not in in_shape:
+                out[i].append(_ID["given_unknown"])
+            else:
+                continue
+            signs.add(i)
+        # Every other mention is linked with the first that has a sign of a name.
+        links, hub = [], {}
+        for i in sorted(signs):
+            hub.setdefault(low[i].removesuffix("s"), i)
+        if hub:
+            for i, w in enumerate(low):
+                first = hub.get(w.removesuffix("s"), i)
+                if first != i and i not in in_shape and (namey[i] or plain[i]):
+                    links.append((min(first, i), max(first, i)))
+        return tokens, out, links
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Items of each text as (start, end, kind)."""
@@ -272,50 +334,41 @@ class Tagger:
         for text in dict.fromkeys(texts):
             if text not in self.memory:
                 self.memory[text] = []
-                for start, part in windows(text):
-                    tokens, features, links, speaks = self.read(part)
-                    if speaks:
-                        waiting.append((text, start, tokens, features, links))
-        waiting.sort(key=lambda w: len(w[2]))
-        for i in range(0, len(waiting), BATCH):
-            batch = waiting[i : i + BATCH]
-            edges = [(k, a, b) for k, w in enumerate(batch) for a, b in w[4]]
-            paths = self.field.decode([w[3] for w in batch], np.array(edges, np.int64).reshape(-1, 3))
-            for (text, start, tokens, _, _), path in zip(batch, paths, strict=True):
+                tokens, features, links = self.read(text)
+                if tokens and not (self.quiet and all(len(f) == 1 for f in features)):
+                    waiting.append((text, tokens, features, links))
+        waiting.sort(key=lambda w: len(w[1]))
+        begin = 0
+        while begin < len(waiting):
+            end = begin + 1
+            while end < len(waiting) and end - begin < BATCH and (end + 1 - begin) * len(waiting[end][1]) <= BATCH_TOKENS:
+                end += 1
+            batch, begin = waiting[begin:end], end
+            edges = [(k, a, b) for k, w in enumerate(batch) for a, b in w[3]]
+            paths = self.field.decode([w[2] for w in batch], np.array(edges, np.int64).reshape(-1, 3))
+            for (text, tokens, _, _), path in zip(batch, paths, strict=True):
                 items = self.memory[text]
                 for (a, b), label in zip(tokens, path.tolist(), strict=True):
                     if label % 2:
-                        items.append((start + a, start + b, KINDS[label // 2]))
+                        items.append((a, b, KINDS[label // 2]))
                     elif label:
-                        items[-1] = (items[-1][0], start + b, items[-1][2])
+                        items[-1] = (items[-1][0], b, items[-1][2])
         return [self.memory[t] for t in texts]
 
 
-def windows(text: str) -> list[tuple[int, str]]:
-    """A text in parts of about WINDOW tokens, cut where no shape and no line lies across."""
-    if len(text) <= 4 * WINDOW:
-        return [(0, text)]
-    covered = sorted((a, b) for a, b, _, _ in spans(text))
-    parts, begin, k = [], 0, 0
-    for m in regex.finditer(r"[\n\r]+|(?<=[.;!?])\s+", text):
-        while k < len(covered) and covered[k][1] <= m.start():
-            k += 1
-        if m.start() - begin >= 4 * WINDOW and not (k < len(covered) and covered[k][0] < m.end()):
-            parts.append((begin, text[begin : m.end()]))
-            begin = m.end()
-    return [*parts, (begin, text[begin:])]
-
-
 @functools.lru_cache(maxsize=2)
 def _tagger(key: tuple) -> Tagger:
     return Tagger(*key)
 
 
 def fit(pii_labels: DataFrame, person_names: DataFrame) -> Tagger:
-    """Fit to the labelled samples: at most MAX_SAMPLES rows and MAX_NAMES names, fixed tables."""
+    """Fit to at most MAX_SAMPLES labelled rows; all names are known, of a table up to MOST_NAMES."""
     samples = pii_labels.orderBy("sample_id", "start_pos").limit(MAX_SAMPLES).select("sample_id", "text", "kind", "start_pos", "end_pos")
-    names = person_names.where("name_part is not null").orderBy("name_part", "part_kind").limit(MAX_NAMES)
-    return _tagger((tuple(map(tuple, samples.collect())), tuple((r.name_part, r.part_kind) for r in names.collect())))
+    known = person_names.where("name_part is not null").select("name_part", "part_kind").distinct()
+    names = known.limit(MOST_NAMES + 1).collect()
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"person_names holds more than {MOST_NAMES} names")
+    return _tagger((tuple(map(tuple, samples.collect())), tuple(sorted((r.name_part, r.part_kind or "") for r in names))))
 
 
 FIELDS = ("text", "accessible_name")
@@ -329,13 +382,14 @@ class _Model:
 
     def __getstate__(self):
         t = self.tagger
-        return {"field": t.field, "whole": t.names.whole, "parts": t.names.parts}
+        return {"field": t.field, "whole": t.names.whole, "parts": t.names.parts, "quiet": t.quiet}
 
     def __setstate__(self, state):
         t = Tagger.__new__(Tagger)
         t.names = Names([])
         t.names.whole, t.names.parts = state["whole"], state["parts"]
-        t.field, t.memory = state["field"], {}
+        t.names.measure()
+        t.field, t.memory, t.quiet = state["field"], {}, state["quiet"]
         self.tagger = t
 
 

@@ -66,6 +66,68 @@ def test_very_long_text_is_read_whole(tagger):
     assert [text[a:b] for a, b, _ in items] == ["312.555.0182", "Jorpera Molmoor"]
 
 
+# Names, sentences and order that none of the rules, weights and labelled samples were made from.
+UNSEEN = ["Okafor", "Nakamura", "Lindqvist", "Abernathy", "Castellanos", "Whitcombe", "Dragomir", "Sorensen", "Mbeki", "Fitzroy"]
+FORMS = [
+    "Dr. {0} opened the case on Monday. Much later the note was closed by {0} and sent to the team.",
+    "We were told by Mrs. {0} that the import had failed twice; when asked again, {0} blamed the proxy.",
+    "Prof. {0} is on leave until the audit ends. Anything that is urgent still goes to {0} first.",
+    "Ask Ana {0} whether the queue is stuck before you restart it, or leave a message with {0} instead.",
+]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, data):
+    rows = table(spark, data, "pii_labels").orderBy("sample_id", "start_pos").collect()
+    names = [(r.name_part, r.part_kind) for r in table(spark, data, "person_names").collect()]
+    short = [("Ana", "given"), ("Bo", "given"), ("Kim", "family"), ("Li", "family")]
+    return pii.Tagger([(r.sample_id, r.text, r.kind, r.start_pos, r.end_pos) for r in rows], [*names, *short])
+
+
+def test_links_find_later_mentions_of_unseen_names(fitted):
+    tagger, agree = fitted, fitted.field.agree.copy()
+
+    def recall():
+        tagger.memory.clear()
+        hits = total = wrong = 0
+        for form in FORMS:
+            for name in UNSEEN:
+                text = form.format(name)
+                found = [text[a:b] for a, b, k in tagger.find([text])[0] if k == "person_name"]
+                good = [f for f in found if f in (name, f"Ana {name}")]
+                hits, total, wrong = hits + len(good), total + text.count(name), wrong + len(found) - len(good)
+        return hits / total, wrong
+
+    with_links, wrong = recall()
+    assert with_links >= 0.9 and wrong == 0
+    tagger.field.agree[:] = 0
+    assert recall()[0] <= 0.5
+    tagger.field.agree[:] = agree
+    tagger.memory.clear()
+    # A title alone is not enough: things are called so, too.
+    for text in ("Mr. Import runs at night and skips what is open.", "Dr. Route Rechecks Each Batch And Route"):
+        assert tagger.find([text]) == [[]]
+
+
+def test_short_known_names(fitted):
+    for text, name in {"Assigned to Ana Kim": "Ana Kim", "written by Bo Li, then closed": "Bo Li"}.items():
+        assert [text[a:b] for a, b, _ in fitted.find([text])[0]] == [name]
+
+
+def test_links_reach_over_a_long_text(fitted):
+    text = "Dr. Nakamura was here. " + "The list was loaded again and is fine. " * 400 + "Then Nakamura left."
+    (items,) = fitted.find([text])
+    assert [text[a:b] for a, b, _ in items] == ["Nakamura"] * 2
+
+
+def test_plain_texts_are_proven_outside(tagger):
+    assert tagger.quiet
+    token = tagger.field.weights[pii.FEATURES.index("token")]
+    assert not tagger.field.stays_outside(token + np.array([0, 9, 9] + [0] * 8))
+    rest = tagger.field.decode([[[0]] * 50], np.zeros((0, 3), np.int64))[0]
+    assert not rest.any()
+
+
 def test_without_samples_and_names(frame):
     bare = pii.Tagger([], [])
     assert [k for _, _, k in bare.find(["write to a.b@c.example"])[0]] == ["email"]
@@ -77,7 +139,7 @@ def brute(model, features, edges):
     total = np.zeros((n, k))
     for y in itertools.product(range(k), repeat=n):
         s = unary[0, range(n), y].sum() + model.first[y[0]] + sum((model.steps + model.closed)[a, b] for a, b in zip(y, y[1:], strict=False))
-        s += sum(model.skip * model.same[y[a], y[b]] for _, a, b in edges)
+        s += sum(model.bond()[y[a], y[b]] for _, a, b in edges)
         total[range(n), y] += np.exp(s)
     return total / total.sum(1, keepdims=True)
 
@@ -86,7 +148,7 @@ def brute(model, features, edges):
 def test_marginals_against_enumeration(edges, tolerance):
     rng = np.random.default_rng(3)
     model = crf.SkipChain(["a", "b"], 4)
-    model.weights, model.steps, model.skip = rng.normal(size=(4, 5)), rng.normal(size=(5, 5)), 0.8
+    model.weights, model.steps, model.agree = rng.normal(size=(4, 5)), rng.normal(size=(5, 5)), np.array([0.2, 0.8, 0.5])
     features = [[0], [1, 2], [3], [0, 3]]
     unary, lengths = model.scores([features])
     _, ahead, behind, _ = model.infer(unary, lengths, np.array(edges, np.int64).reshape(-1, 3))
