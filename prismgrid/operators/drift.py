@@ -38,19 +38,21 @@ _DIGITS = re.compile(r"\d")
 _NINES = str.maketrans("012345678", "9" * 9)
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def _class(group: str, text: str) -> str:
-    return f"{group}{zlib.crc32(text.encode()) % CLASSES}"
+    return f"{group}{zlib.crc32(text.encode(errors='surrogatepass')) % CLASSES}"
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def _text_features(value: str) -> tuple[str, ...]:
-    shape = value[:120].translate(_NINES)
+    shape = value.translate(_NINES)
     for pattern, sign in _RUNS:
         shape = pattern.sub(sign, shape)
     words = value.lower().split()
     length = "w" if len(words) > 3 else int(math.log2(len(value) + 1))
-    return (_class("s", shape[:40]), f"l{length}", *[_class("v", w) for w in words[:20] if not _DIGITS.search(w)])
+    return (_class("s", shape), f"l{length}", *[_class("v", w) for w in words if not _DIGITS.search(w)])
+
+
+#: Features of short texts, which repeat, are remembered; they are the same either way.
+_short_features = functools.lru_cache(maxsize=1 << 16)(_text_features)
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -64,7 +66,7 @@ def _number_features(value: float, whole: bool) -> tuple[str, ...]:
 def features(value) -> tuple[str, ...]:
     """Bounded classes of one value's content: shape, length and vocabulary."""
     if isinstance(value, str):
-        return _text_features(value)
+        return _short_features(value) if len(value) < 200 else _text_features(value)
     if isinstance(value, bool):
         return ("b1" if value else "b0",)
     if isinstance(value, (int, float)):
@@ -147,15 +149,8 @@ def file_footers(crawl_files: DataFrame) -> DataFrame:
     )
 
 
-def _profile(parts: str) -> str:
-    """SQL of the feature counts of all parts as one map."""
-    one = "transform_values(str_to_map(x, '[|]', '='), (k, v) -> cast(v as bigint))"
-    merge = "map_zip_with(a, b, (k, x, y) -> coalesce(x, 0L) + coalesce(y, 0L))"
-    return f"reduce(transform({parts}, x -> {one}), cast(map() as map<string, bigint>), (a, b) -> {merge})"
-
-
-def _sequence(footers: DataFrame) -> DataFrame:
-    """Footers with the file's place in its feed, the feed's number of files and the kind.
+def _places(footers: DataFrame) -> DataFrame:
+    """(feed, file_no, seq, next_file, files): each file's place in its feed, from 1.
 
     Places are counted per block of file numbers and shifted by what lies before, so that
     no task orders all files of a feed.
@@ -164,21 +159,27 @@ def _sequence(footers: DataFrame) -> DataFrame:
     feed = W.partitionBy("feed")
     blocks = (
         files.groupBy("feed", "block")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min("file_no").alias("first"))
         .select(
             "feed",
             "block",
             F.coalesce(F.sum("n").over(feed.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
+            F.lead("first").over(feed.orderBy("block")).alias("next_block"),
             F.sum("n").over(feed).alias("files"),
         )
     )
-    inside = F.row_number().over(W.partitionBy("feed", "block").orderBy("file_no"))
-    placed = files.withColumn("inside", inside).join(blocks, ["feed", "block"]).select(
-        "feed", "file_no", (F.col("earlier") + F.col("inside")).alias("seq"), "files"
+    inside = W.partitionBy("feed", "block").orderBy("file_no")
+    return (
+        files.select("*", F.row_number().over(inside).alias("inside"), F.lead("file_no").over(inside).alias("after"))
+        .join(blocks, ["feed", "block"])
+        .select(
+            "feed",
+            "file_no",
+            (F.col("earlier") + F.col("inside")).alias("seq"),
+            F.coalesce("after", "next_block").alias("next_file"),
+            "files",
+        )
     )
-    types = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit("t:([a-z]+)="), F.lit(1))))
-    kind = F.array_join(F.array_sort(F.array_distinct(types)), "|")
-    return footers.join(placed, ["feed", "file_no"]).withColumn("kind", kind)
 
 
 def _beside(rows: DataFrame) -> DataFrame:
@@ -210,22 +211,33 @@ def _beside(rows: DataFrame) -> DataFrame:
     )
 
 
-def lifespans(footers: DataFrame) -> DataFrame:
-    """Islands: (feed, path, kind, first_file, last_file, n_files, starts, ends).
+def catalogue(footers: DataFrame) -> DataFrame:
+    """Lifespans with what lies beside them: LIFESPAN and next_file, kind_before, kind_after.
 
-    ``starts`` and ``ends`` tell whether the island begins after the feed's first file or
-    ends before its last. A file in which all values are null has kind ''.
+    An island is a run of consecutive files of a feed in which a field has one kind.
+    ``next_file`` is the file after the island's last; ``kind_before`` and ``kind_after``
+    are the field's kinds in the files beside the island, null where it is absent.
     """
-    rows = _beside(_sequence(footers).drop("parts"))
-    no = F.lit(False)
-    first = ~F.coalesce((F.col("seq_before") == F.col("seq") - 1) & (F.col("kind_before") == F.col("kind")), no)
-    last = ~F.coalesce((F.col("seq_after") == F.col("seq") + 1) & (F.col("kind_after") == F.col("kind")), no)
+    types = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit("t:([a-z]+)="), F.lit(1))))
+    kind = F.array_join(F.array_sort(F.array_distinct(types)), "|")
+    rows = _beside(footers.select("feed", "file_no", "path", kind.alias("kind")).join(_places(footers), ["feed", "file_no"]))
+    before = F.when(F.col("seq_before") == F.col("seq") - 1, F.col("kind_before"))
+    after = F.when(F.col("seq_after") == F.col("seq") + 1, F.col("kind_after"))
+    edges = (
+        rows.withColumns({"kind_before": before, "kind_after": after})
+        .withColumns(
+            {
+                "first": ~F.coalesce(F.col("kind_before") == F.col("kind"), F.lit(False)),
+                "last": ~F.coalesce(F.col("kind_after") == F.col("kind"), F.lit(False)),
+            }
+        )
+        .where("first or last")
+    )
     # Only the ends of islands are left, so this order is as long as the changes are many.
     island = W.partitionBy("feed", "path", "kind").orderBy("seq")
-    edges = rows.select("*", first.alias("first"), last.alias("last")).where("first or last")
-    ended = F.when(F.col("last"), F.struct("seq", "file_no")).otherwise(F.lead(F.struct("seq", "file_no")).over(island))
+    own = F.struct("seq", "file_no", "next_file", "kind_after")
     return (
-        edges.withColumn("end", ended)
+        edges.withColumn("end", F.when(F.col("last"), own).otherwise(F.lead(own).over(island)))
         .where("first")
         .select(
             "feed",
@@ -236,132 +248,142 @@ def lifespans(footers: DataFrame) -> DataFrame:
             (F.col("end.seq") - F.col("seq") + 1).alias("n_files"),
             (F.col("seq") > 1).alias("starts"),
             (F.col("end.seq") < F.col("files")).alias("ends"),
+            "end.next_file",
+            "kind_before",
+            "end.kind_after",
         )
     )
 
 
-def _alike(a: str, b: str) -> str:
-    """SQL of the content in common of two feature maps: mean overlap over their groups."""
+LIFESPAN = ["feed", "path", "kind", "first_file", "last_file", "n_files", "starts", "ends"]
 
-    def total(m: str) -> str:
-        return (
-            f"aggregate(map_keys({m}), 0D, (s, k) -> s + if(startswith(k, g), {m}[k], 0L))"
-        )
 
-    overlap = (
-        f"transform(filter(array('s','l','v','m','c','b','k','es','el','ev','em','ec','eb','ek'), "
-        f"g -> exists(map_keys({a}), k -> startswith(k, g)) or exists(map_keys({b}), k -> startswith(k, g))), "
-        f"g -> transform(array(struct({total(a)} as ta, {total(b)} as tb)), "
-        f"t -> aggregate(map_keys({a}), 0D, (s, k) -> s + if(startswith(k, g), "
-        f"least({a}[k] / t.ta, coalesce(try_element_at({b}, k) / nullif(t.tb, 0D), 0D)), 0D)))[0])"
-    )
-    return f"aggregate({overlap}, struct(0D as t, 0 as n), (s, x) -> struct(s.t + x as t, s.n + 1 as n), s -> s.t / nullif(s.n, 0))"
-
-
-def _ends_and_starts(footers: DataFrame) -> DataFrame:
-    """Events per feed and file: fields that end before it, start in it or change type."""
-    rows = _sequence(footers)
-    seen = _beside(rows)
-    follows = F.coalesce(F.col("seq_before") == F.col("seq") - 1, F.lit(False))
-    followed = F.coalesce(F.col("seq_after") == F.col("seq") + 1, F.lit(False))
-    event = F.array(
-        F.when((F.col("seq") > 1) & ~follows, F.struct(F.lit("start").alias("event"), F.col("seq").alias("at"))),
-        F.when((F.col("seq") < F.col("files")) & ~followed, F.struct(F.lit("end").alias("event"), (F.col("seq") + 1).alias("at"))),
-        F.when(
-            follows & (F.col("kind") != "") & (F.col("kind_before") != "") & (F.col("kind") != F.col("kind_before")),
-            F.struct(F.lit("retyped").alias("event"), F.col("seq").alias("at")),
-        ),
-    )
-    files = rows.select("feed", F.col("seq").alias("at"), F.col("file_no").alias("at_file")).distinct()
-    return (
-        seen.select("feed", "path", "kind", "kind_before", "parts", F.inline(F.array_compact(event)))
-        .join(files, ["feed", "at"])
-        .withColumn("parent", F.regexp_replace("path", r"[^.]*$", ""))
-    )
+def lifespans(footers: DataFrame) -> DataFrame:
+    """Islands: (feed, path, kind, first_file, last_file, n_files, starts, ends).
+
+    ``starts`` and ``ends`` tell whether the island begins after the feed's first file or
+    ends before its last. A file in which all values are null has kind ''.
+    """
+    return catalogue(footers).select(LIFESPAN)
+
+
+def _group(feature: str) -> str:
+    return feature[:2] if feature[0] == "e" else feature[0]
 
 
-def schema_changes(crawl_files: DataFrame) -> DataFrame:
+def profile(parts: list[str]) -> dict[str, dict[str, int]]:
+    """Counts of content features of all parts, by group."""
+    groups: dict[str, dict[str, int]] = {}
+    for part in parts:
+        for cell in part.split("|"):
+            f, _, n = cell.rpartition("=")
+            if f != "n" and not f.startswith("t:"):
+                group = groups.setdefault(_group(f), {})
+                group[f] = group.get(f, 0) + int(n)
+    return groups
+
+
+def alike(a: dict, b: dict) -> float:
+    """Content in common of two profiles: mean overlap over the groups that either has."""
+    groups = a.keys() | b.keys()
+    total = 0.0
+    for g in groups & a.keys() & b.keys():
+        x, y = a[g], b[g]
+        nx, ny = sum(x.values()), sum(y.values())
+        total += sum(min(n / nx, y.get(f, 0) / ny) for f, n in x.items())
+    return total / len(groups) if groups else 0.0
+
+
+def resolve(events: list[tuple]) -> list[tuple]:
+    """Changes of one file from its events (event, path, kind, kind_before, parts).
+
+    Gives (field_path, change_kind, new_path, old_type, new_type). Ends and starts of one
+    parent and kind whose contents are alike are renames, the most alike first; what lies
+    below a changed container is left out.
+    """
+    ends, starts = {}, {}
+    for event, path, kind, _, parts in events:
+        if kind and event != "retyped":
+            side = ends if event == "end" else starts
+            side.setdefault((path[: path.rfind(".") + 1], kind), []).append((path, profile(parts)))
+    pairs = []
+    for key, gone in ends.items():
+        for old, a in gone:
+            for new, b in starts.get(key, ()):
+                score = alike(a, b)
+                if score >= LEAST_ALIKE:
+                    pairs.append((-score, old, new, key[1]))
+    renamed, taken = {}, set()
+    for _, old, new, kind in sorted(pairs):
+        if old not in renamed and new not in taken:
+            renamed[old] = (new, kind)
+            taken.add(new)
+    changes = [(old, "renamed", new, kind, kind) for old, (new, kind) in renamed.items()]
+    for event, path, kind, before, _ in events:
+        if event == "retyped":
+            changes.append((path, "retyped", "", before, kind))
+        elif event == "end" and path not in renamed:
+            changes.append((path, "removed", "", kind, ""))
+        elif event == "start" and path not in taken:
+            changes.append((path, "added", "", "", kind))
+    tops = {p for c in changes if any(k in t for t in c[3:] for k in ("object", "array")) for p in (c[0], c[2]) if p}
+
+    def above(path: str):
+        for i, sign in enumerate(path):
+            if sign == "." or path.startswith("[]", i):
+                yield path[:i]
+
+    return [c for c in changes if not any(p in tops for p in above(c[0]))]
+
+
+def schema_changes(crawl_files: DataFrame, footers: DataFrame | None = None) -> DataFrame:
     """Changes of each file against the feed's previous one.
 
     Columns: feed, file_no, field_path, change_kind (added, removed, renamed, retyped),
-    new_path, old_type, new_type. Below a container that is renamed, added, removed or
-    changes between object, array and scalar nothing is reported. A field whose values
-    are all null has no type and no content: it is neither retyped nor renamed. Of
-    several candidates the most alike are paired first, ties by name. Repeated lines
-    and lines that cannot be read change nothing; empty tables give no rows.
+    new_path, old_type, new_type. Read from the catalogue of lifespans: where an island
+    starts or ends inside the feed, its field was added, removed or changed its type. Below a
+    container that is renamed, added, removed or changes between object, array and scalar
+    nothing is reported. A field whose values are all null has no type and no content: it
+    is neither retyped nor renamed. Of several candidates the most alike are paired first,
+    ties by name. Repeated lines and lines that cannot be read change nothing; empty
+    tables give no rows. A task holds the changed fields of one file at a time.
     """
-    # Both are read several times; the footers are what is left of the records.
-    events = checkpoint(_ends_and_starts(checkpoint(file_footers(crawl_files))))
-    gone = events.where("event = 'end'").select(
-        "feed", "at_file", "parent", "kind", F.col("path").alias("old"), F.col("parts").alias("pa")
-    )
-    new = events.where("event = 'start'").select(
-        "feed", "at_file", "parent", "kind", F.col("path").alias("new"), F.col("parts").alias("pb")
-    )
-    # The profiles are bound to a variable, so that each is built once for its many uses.
-    alike = f"transform(array(struct({_profile('pa')} as a, {_profile('pb')} as b)), z -> {_alike('z.a', 'z.b')})[0]"
-    pairs = (
-        gone.where("kind <> ''")
-        .join(new, ["feed", "at_file", "parent", "kind"])
-        .select("feed", "at_file", "kind", "old", "new", F.expr(alike).alias("alike"))
-        .where(F.col("alike") >= LEAST_ALIKE)
-        .groupBy("feed", "at_file")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("alike")).alias("d"), "old", "new", "kind"))).alias("c"))
-        .select(
-            "feed",
-            "at_file",
-            F.expr(
-                "inline(aggregate(c, cast(array() as array<struct<d: double, old: string, new: string, kind: string>>), "
-                "(s, x) -> if(exists(s, y -> y.old = x.old or y.new = x.new), s, array_append(s, x))))"
+    # Read twice, for the catalogue and for contents; the footers are what is left of the records.
+    footers = checkpoint(file_footers(crawl_files)) if footers is None else footers
+    event = F.array_compact(
+        F.array(
+            F.when(
+                F.col("starts") & F.col("kind_before").isNull(),
+                F.struct(F.lit("start").alias("event"), F.col("first_file").alias("at_file"), F.col("first_file").alias("file_no")),
+            ),
+            F.when(
+                F.col("ends") & F.col("kind_after").isNull(),
+                F.struct(F.lit("end").alias("event"), F.col("next_file").alias("at_file"), F.col("last_file").alias("file_no")),
+            ),
+            F.when(
+                F.col("starts") & (F.col("kind") != "") & (F.col("kind_before") != ""),
+                F.struct(F.lit("retyped").alias("event"), F.col("first_file").alias("at_file"), F.lit(None).cast("int").alias("file_no")),
             ),
         )
     )
-    renamed = pairs.select(
-        "feed",
-        "at_file",
-        F.col("old").alias("path"),
-        F.lit("renamed").alias("change_kind"),
-        F.col("new").alias("new_path"),
-        F.col("kind").alias("old_type"),
-        F.col("kind").alias("new_type"),
-    )
-    plain = (
-        events.alias("e")
-        .join(pairs.select("feed", "at_file", F.col("old").alias("path"), F.lit("end").alias("event")), ["feed", "at_file", "path", "event"], "left_anti")
-        .join(pairs.select("feed", "at_file", F.col("new").alias("path"), F.lit("start").alias("event")), ["feed", "at_file", "path", "event"], "left_anti")
-        .select(
-            "feed",
-            "at_file",
-            "path",
-            F.expr("case event when 'start' then 'added' when 'end' then 'removed' else event end").alias("change_kind"),
-            F.lit("").alias("new_path"),
-            F.expr("case event when 'start' then '' when 'end' then kind else kind_before end").alias("old_type"),
-            F.expr("case event when 'end' then '' else kind end").alias("new_type"),
-        )
-    )
-    changes = renamed.unionByName(plain)
-    container = F.col("old_type").rlike("object|array") | F.col("new_type").rlike("object|array")
-    tops = changes.where(container).groupBy("feed", "at_file").agg(
-        F.flatten(F.collect_list(F.array("path", F.coalesce(F.nullif("new_path", F.lit("")), F.col("path"))))).alias("tops")
-    )
-    covered = F.exists(
-        F.coalesce("tops", F.array().cast("array<string>")),
-        lambda t: F.col("path").startswith(F.concat(t, F.lit("."))) | F.col("path").startswith(F.concat(t, F.lit("[]"))),
-    )
-    return (
-        changes.join(tops, ["feed", "at_file"], "left")
-        .where(~covered)
-        .select(
-            "feed",
-            F.col("at_file").alias("file_no"),
-            F.col("path").alias("field_path"),
-            "change_kind",
-            "new_path",
-            "old_type",
-            "new_type",
-        )
-        .distinct()
+    events = catalogue(footers).select("feed", "path", "kind", "kind_before", F.inline(event))
+    held = F.struct("event", "path", "kind", F.coalesce("kind_before", F.lit("")).alias("before"), F.coalesce("parts", F.array()).alias("parts"))
+    files = (
+        events.join(footers, ["feed", "file_no", "path"], "left")
+        .groupBy("feed", "at_file")
+        .agg(F.collect_list(held).alias("events"))
     )
+    names = ["feed", "file_no", "field_path", "change_kind", "new_path", "old_type", "new_type"]
+
+    def resolved(batches):
+        for batch in batches:
+            rows = []
+            for feed, no, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += [(feed, no, *c) for c in resolve([tuple(e.values()) for e in found])]
+            kinds = [pa.string(), pa.int32()] + [pa.string()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    return files.mapInArrow(resolved, ", ".join(f"{n} {'int' if n == 'file_no' else 'string'}" for n in names))
 
 
 #: Declared fields of a record: path -> (column, type).

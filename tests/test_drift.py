@@ -78,6 +78,17 @@ def test_blocks_of_files_change_nothing(frame, monkeypatch):
     assert ("f", 12, "b", "removed", "") in whole and ("f", 18, "b", "added", "") in whole and ("f", 12, "a", "retyped", "") in whole
 
 
+def test_contents_behind_a_long_common_opening_decide(frame):
+    opening = "This note was written by the capture service while it looked at the page and at all that the page links to, so that what follows can be told from what was there before; the words of this opening never change. "
+    assert len(opening) > 200
+    one = ["orders invoices customers ledgers quotes", "ledgers quotes orders refunds customers", "invoices refunds orders customers ledgers"]
+    two = ["harbour weather tides wind clouds", "wind tides rain harbour snow", "clouds snow weather rain tides"]
+    old = [{"k": 1, "first": opening + 8 * (t + " ")} for t in one]
+    new = [{"k": 1, "a_weather": opening + 8 * (t + " "), "b_orders": opening + 8 * (u + " ")} for t, u in zip(two, reversed(one), strict=True)]
+    assert drift.features(old[0]["first"]) != drift.features(new[0]["a_weather"])
+    assert found(frame, lines("f", 1, old) + lines("f", 2, new)) == {("f", 2, "first", "renamed", "b_orders"), ("f", 2, "a_weather", "added", "")}
+
+
 def leaves(value):
     if isinstance(value, dict):
         return [x for v in value.values() for x in leaves(v)]
