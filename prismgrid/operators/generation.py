@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismgrid.operators.capture import current_pages
-from prismgrid.operators.navigation import resolved_links
+from prismgrid.operators.navigation import first_links, resolved_links
 
 SMOKE_LABELS = ["primary_action", "navigation", "data_display", "filter", "form_input", "secondary_action"]
 
@@ -63,6 +63,70 @@ def scenarios(page_nodes: DataFrame, nav_edges: DataFrame, labels: DataFrame) ->
     return facts.select("crawl_id", "url", F.inline(all_rows))
 
 
+def scenario_steps(page_nodes: DataFrame, nav_edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The steps of every scenario: crawl_id, url, kind, number, step, action, target, note.
+
+    As many as :func:`scenarios` counts, in order from 0. Names shown in smoke tests go by
+    meaning, then by their first place, each once; links by the first edge that has the label.
+    """
+    pages = current_pages(page_nodes, "title").select("crawl_id", "url", F.nullif("title", F.lit("")).alias("title"))
+    page = ["crawl_id", "url"]
+    controls = page_controls(labels)
+    meaning = F.array_position(F.array(*map(F.lit, SMOKE_LABELS)), F.col("label"))
+    place = lambda *by: F.row_number().over(W.partitionBy(*page).orderBy(*by))
+
+    def steps(rows: DataFrame, kind: str, action: str, step, target: str = "name", note: str = "", number=None) -> DataFrame:
+        number = F.lit(0) if number is None else number
+        return rows.select(
+            *page, F.lit(kind).alias("kind"), number.cast("int").alias("number"), step.cast("int").alias("step"),
+            F.lit(action).alias("action"), F.col(target).alias("target"), F.lit(note).alias("note"),
+        )
+
+    shown = (
+        controls.where((F.col("rank") <= 2) & (meaning > 0))
+        .groupBy(*page, F.col("accessible_name").alias("name"))
+        .agg(F.min(F.struct(meaning.alias("m"), "rank")).alias("o"))
+        .withColumn("i", place("o"))
+        .where("i <= 6")
+        .join(pages, page)
+    )
+    fields = controls.where(F.col("label").isin("form_input", "filter")).withColumnRenamed("accessible_name", "name")
+    fields = fields.withColumn("i", place(F.col("label") == "filter", "rank"))
+    risky = controls.where("label = 'destructive'").withColumnRenamed("accessible_name", "name").withColumn("i", F.col("rank"))
+    links = (
+        first_links(nav_edges)
+        .where("label <> '' and source <> target")
+        .join(pages.select("crawl_id", F.col("url").alias("target")), ["crawl_id", "target"], "left_semi")
+        .groupBy("crawl_id", F.col("source").alias("url"), F.col("label").alias("name"))
+        .agg(F.min(F.struct("edge_id", "target")).alias("f"))
+        .withColumns({"i": place("f.edge_id", "name"), "leads_to": F.col("f.target")})
+        .where("i <= 3")
+        .join(pages.select(*page), page, "left_semi")
+    )
+    titled = pages.where("title is not null")
+    formed, guarded = fields.select(*page).distinct(), risky.select(*page).distinct()
+    skip = "Do NOT auto-submit — needs test data & authorization."
+    last = fields.where("i <= 4").groupBy(*page).agg(F.max("i").alias("i")).withColumn("name", F.lit("submit"))
+    number = F.col("i") - 1
+    parts = [
+        steps(pages, "smoke", "navigate", F.lit(0), "url"),
+        steps(titled, "smoke", "assert_title", F.lit(1), "title"),
+        steps(shown, "smoke", "assert_visible", F.col("i") + F.col("title").isNotNull().cast("int")),
+        steps(links, "navigation", "navigate", F.lit(0), "url", number=number),
+        steps(links, "navigation", "click", F.lit(1), number=number),
+        steps(links, "navigation", "assert_url", F.lit(2), "leads_to", number=number),
+        steps(formed, "form", "navigate", F.lit(0), "url"),
+        steps(fields.where("i <= 4"), "form", "fill", F.col("i")),
+        steps(last, "form", "guard_skip", F.col("i") + 1, note=skip),
+        steps(guarded, "destructive_guard", "navigate", F.lit(0), "url"),
+        steps(risky, "destructive_guard", "guard_skip", F.col("i"), note="destructive — must never be automated"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def page_records(page_nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """A sentence on what each page is for, by the meanings of its controls."""
     controls = page_controls(labels)

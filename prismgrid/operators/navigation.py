@@ -118,11 +118,16 @@ def modules(urls: DataFrame, prefixes: dict[str, str], default: str = "general")
 
 def resolved_links(nav_edges: DataFrame) -> DataFrame:
     """Per screen and same-host target the first link: label, region and control."""
+    return first_links(nav_edges).drop("edge_id")
+
+
+def first_links(nav_edges: DataFrame) -> DataFrame:
+    """Like :func:`resolved_links`, with the link's edge_id."""
     edges = current_edges(nav_edges).where(F.col("target").rlike("^(https?|file):") & (host_of(F.col("target")) == host_of(F.col("source"))))
     return (
         edges.groupBy("crawl_id", "source", "target")
-        .agg(F.min_by(F.struct(strip(F.col("label")).alias("label"), F.coalesce("region", F.lit("")).alias("region"), "control"), "edge_id").alias("f"))
-        .select("crawl_id", "source", "target", "f.*")
+        .agg(F.min_by(F.struct(strip(F.col("label")).alias("label"), F.coalesce("region", F.lit("")).alias("region"), "control"), "edge_id").alias("f"), F.min("edge_id").alias("edge_id"))
+        .select("crawl_id", "source", "target", "f.*", "edge_id")
     )
 
 
@@ -199,6 +204,47 @@ def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
             seen = checkpoint(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
 
 
+def crawl_frontier(page_nodes: DataFrame, nav_edges: DataFrame, max_pages: int = 25, max_depth: int = 3) -> DataFrame:
+    """What a capture with a budget takes of the available pages: crawl_id, url, clicks, turn.
+
+    The search starts at the entry pages (depth 0) and follows links to pages that exist,
+    at most ``max_depth`` clicks. Within a round pages are claimed by the first link that
+    leads to them, then by url; a capture claims ``max_pages`` distinct pages and follows
+    no link of a page it did not claim (both limits are the feature).
+    """
+    pages = current_pages(page_nodes).select("crawl_id", "url", "depth")
+    edges = current_edges(nav_edges).where("source <> target").groupBy("crawl_id", "source", "target").agg(F.min("edge_id").alias("edge_id"))
+    edges = checkpoint(edges.join(pages.select("crawl_id", F.col("url").alias("target")), ["crawl_id", "target"], "left_semi"))
+    crawl = W.partitionBy("crawl_id")
+
+    def claimed(found: DataFrame) -> DataFrame:
+        turn = F.col("used") + F.row_number().over(crawl.orderBy("edge_id", "url"))
+        return checkpoint(found.withColumn("turn", turn).where(F.col("turn") <= max_pages).drop("used"))
+
+    start = pages.where("depth = 0").select("crawl_id", "url", F.lit(0).alias("clicks"), F.lit(-1).cast("bigint").alias("edge_id"), F.lit(0).cast("bigint").alias("used"))
+    seen = frontier = claimed(start)
+    for step in range(1, max_depth + 1):
+        used = seen.groupBy("crawl_id").agg(F.max("turn").alias("used"))
+        frontier = claimed(
+            frontier.select("crawl_id", F.col("url").alias("source"))
+            .join(edges, ["crawl_id", "source"])
+            .groupBy("crawl_id", F.col("target").alias("url"))
+            .agg(F.min("edge_id").alias("edge_id"))
+            .join(seen, ["crawl_id", "url"], "left_anti")
+            .join(used, "crawl_id")
+            .select("crawl_id", "url", F.lit(step).alias("clicks"), "edge_id", "used")
+        )
+        seen = seen.unionByName(frontier)
+    return seen.select("crawl_id", "url", "clicks", F.col("turn").cast("int").alias("turn"))
+
+
+def top_endpoints(requests: DataFrame, limit: int = 20) -> DataFrame:
+    """The most frequent endpoints of API requests (a top-k report), ties by name."""
+    api = requests.where(F.col("resource_type").isin("xhr", "fetch"))
+    counts = api.groupBy(endpoint_pattern(F.col("url")).alias("endpoint")).agg(F.count("*").alias("calls"))
+    return counts.where("endpoint <> ''").orderBy(F.desc("calls"), "endpoint").limit(limit)
+
+
 def egress_ledger(nav_edges: DataFrame) -> DataFrame:
     """Contacted hosts per capture: requests, first path, and whether in scope.
 

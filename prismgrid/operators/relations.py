@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismgrid.functions.identity import control_label
 from prismgrid.functions.text import filled
+from prismgrid.session import checkpoint
 from prismgrid.operators.capture import current_elements
 from prismgrid.operators.components import reading_order
 
@@ -137,38 +138,46 @@ def forms(elements: DataFrame) -> DataFrame:
     )
 
 
-def tables(elements: DataFrame, max_depth: int = 40) -> DataFrame:
+#: Rounds of halving; a chain of captured parents that is longer than 2 ** ROUNDS runs in a circle.
+ROUNDS = 40
+
+
+def nearest_tables(parents: DataFrame) -> DataFrame:
+    """The table that each captured path lies in or is: PAGE, path, nearest.
+
+    ``parents`` has PAGE, path, up (the next captured path, or '') and is_table. Each round
+    lets a path take over what its parent knows, a table or a parent twice as far, so a
+    chain of n steps takes log n rounds, of the unsettled paths only. Paths whose chain
+    ends, leaves the captured paths or runs in a circle are absent.
+    """
+    known = checkpoint(parents.select(*PAGE, "path", "up", F.when(F.col("is_table"), F.col("path")).alias("nearest")))
+    for _ in range(ROUNDS):
+        open_ = known.where("nearest is null and up <> ''")
+        if open_.isEmpty():
+            break
+        above = known.select(*PAGE, F.col("path").alias("up"), F.col("up").alias("next"), F.col("nearest").alias("found"))
+        moved = open_.drop("nearest").join(above, [*PAGE, "up"]).select(*PAGE, "path", F.col("next").alias("up"), F.col("found").alias("nearest"))
+        known = checkpoint(known.where("nearest is not null").unionByName(moved))
+    return known.where("nearest is not null").select(*PAGE, "path", "nearest")
+
+
+def tables(elements: DataFrame) -> DataFrame:
     """Data tables with columns, rows and the distinct actions inside them.
 
-    An action belongs to the nearest table on its chain of captured parents. Paths hold
-    at most ``max_depth`` segments, so the climb is a loop over the still unresolved
-    controls only, and stops as soon as none is left.
+    An action belongs to the nearest table on its chain of captured parents, however long.
     """
     rows = current_elements(elements, *LINKED, "column_names", "row_count", "landmark").withColumn("label", control_label())
     at = F.struct("pos", "element_id")
     parents = rows.where("dom_path <> ''").groupBy(*PAGE, F.col("dom_path").alias("path")).agg(
-        F.max_by(F.coalesce("parent_path", F.lit("")), at).alias("up"), F.bool_or(F.col("category") == "table").alias("is_table")
+        F.max_by(F.coalesce("parent_path", F.lit("")), at).alias("up"), F.bool_or(F.coalesce(F.col("category") == "table", F.lit(False))).alias("is_table")
     )
-    chain = rows.where(F.col("category").isin("button", "link") & (F.col("parent_path") != "")).select(
-        *PAGE, "label", "pos", "element_id", F.col("parent_path").alias("path"), F.lit(False).alias("is_table")
+    owned = (
+        rows.where(F.col("category").isin("button", "link") & (F.col("parent_path") != ""))
+        .select(*PAGE, "label", "pos", "element_id", F.col("parent_path").alias("path"))
+        .join(nearest_tables(parents), [*PAGE, "path"])
     )
-    return _climb(rows, parents, chain, max_depth)
-
-
-def _climb(rows: DataFrame, parents: DataFrame, chain: DataFrame, max_depth: int) -> DataFrame:
-    from prismgrid.session import checkpoint
-
-    parents = checkpoint(parents)
-    owned = None
-    for _ in range(max_depth):
-        step = checkpoint(chain.drop("is_table").join(parents, [*PAGE, "path"]))
-        here = step.where("is_table").select(*PAGE, "path", "label", "pos", "element_id")
-        owned = here if owned is None else owned.unionByName(here)
-        chain = step.where("not is_table and up <> ''").select(*PAGE, "label", "pos", "element_id", F.col("up").alias("path"), "is_table")
-        if chain.isEmpty():
-            break
     acts = (
-        owned.groupBy(*PAGE, "path", "label")
+        owned.groupBy(*PAGE, F.col("nearest").alias("path"), "label")
         .agg(F.min(F.struct("pos", "element_id")).alias("at"))
         .groupBy(*PAGE, "path")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda s: s.label), " | ").alias("row_actions"))
@@ -187,3 +196,27 @@ def _climb(rows: DataFrame, parents: DataFrame, chain: DataFrame, max_depth: int
             F.coalesce("row_actions", F.lit("")).alias("row_actions"),
         )
     )
+
+
+def relation_stats(page_nodes: DataFrame, nav_edges: DataFrame, elements: DataFrame) -> DataFrame:
+    """Counters of each capture's relations: (crawl_id, counter, n), zeros left out."""
+    from prismgrid.operators.capture import current_edges, current_pages
+    from prismgrid.operators.navigation import orphan_screens
+
+    grouped = forms(elements)
+    edges = current_edges(nav_edges)
+    counted = [
+        (current_pages(page_nodes), "screens", F.lit(1)),
+        (edges, "navigation_edges", F.lit(1)),
+        (edges.where("label <> ''"), "labelled_edges", F.lit(1)),
+        (element_links(elements), "element_links", F.lit(1)),
+        (grouped, "forms", F.lit(1)),
+        (grouped, "form_fields", F.col("fields")),
+        (current_elements(elements, "category").where("category = 'table'"), "tables", F.lit(1)),
+        (orphan_screens(page_nodes, nav_edges), "orphan_screens", F.lit(1)),
+    ]
+    out = None
+    for rows, name, n in counted:
+        part = rows.groupBy("crawl_id").agg(F.sum(n).cast("bigint").alias("n")).select("crawl_id", F.lit(name).alias("counter"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out.where("n > 0")

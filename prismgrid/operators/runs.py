@@ -153,3 +153,26 @@ def prune(folders: list[str], delete: bool = False) -> list[str]:
         except OSError:
             continue
     return gone
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """Events with their running number in the run, from 1, by time, then id."""
+    turn = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.select(F.col("user_id").alias("run_id"), "event_id", turn.alias("seq"))
+
+
+def run_index(outcomes: DataFrame, finished_at: Column) -> DataFrame:
+    """One row per run, however often it was finished: the last finish, ties by crawl_id.
+
+    ``outcomes`` has run_id, crawl_id, outcome, pages_crawled and what ``finished_at`` needs.
+    """
+    order = F.struct(finished_at.alias("at"), "crawl_id")
+    return outcomes.groupBy("run_id").agg(
+        F.max_by(F.struct("crawl_id", finished_at.alias("at"), "outcome", F.coalesce("pages_crawled", F.lit(0)).alias("pages")), order).alias("r"),
+        F.count("*").alias("finishes"),
+    ).select("run_id", "r.*", "finishes")
+
+
+def append_index(index: DataFrame, finished: DataFrame) -> DataFrame:
+    """The index with further runs; a run that is in it already stays as it is."""
+    return index.unionByName(finished.join(index.select("run_id"), "run_id", "left_anti").select(index.columns))

@@ -78,7 +78,7 @@ def classify_states(triggers: DataFrame, shown: DataFrame, scope: list[str]) ->
         .when(F.col("category").isin(CONTAINERS) & F.col("kind").isNotNull(), 2)
         .when(F.col("expands"), 3)
     )
-    order = F.struct(rank.alias("rank"), F.when(rank == 1, told).otherwise(0).alias("turn"), depth(F.col("dom_path")).alias("depth"), "pos")
+    order = F.struct(rank.alias("rank"), F.when(rank == 1, told).otherwise(0).alias("turn"), depth(F.col("dom_path")).alias("depth"), "pos", "dom_path")
     best = joined.where(rank.isNotNull()).groupBy(*scope, "trigger_name").agg(F.min_by(F.struct("kind", "name", "dom_path", rank.alias("rank")), order).alias("b"))
     by_trigger = F.col("b.rank") == 3
     return best.select(
@@ -138,3 +138,70 @@ def probe_stats(plan: DataFrame) -> DataFrame:
         F.count_if(F.col("safety") == "BLOCK").alias("blocked"),
         F.count_if(F.col("safety") == "CAUTION").alias("caution"),
     )
+
+
+def inside(rows: DataFrame, containers: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows whose dom_path begins with a container's path: scope, container and the row.
+
+    ``containers`` has the scope and container. Each row is unfolded to the prefixes of
+    the lengths that containers of its scope have, so that the join is one of equal keys.
+    """
+    held = containers.select(*scope, "container").where("container <> ''").distinct()
+    lengths = held.groupBy(*scope).agg(F.collect_set(F.length("container")).alias("lengths"))
+    cut = F.filter("lengths", lambda n: n < F.length("dom_path"))
+    unfolded = rows.where("dom_path <> ''").join(lengths, scope).withColumn("n", F.explode(cut))
+    return unfolded.withColumn("container", F.expr("substring(dom_path, 1, n)")).drop("lengths", "n").join(held, [*scope, "container"])
+
+
+#: Controls and headings kept of a state, and the categories of fields.
+MAX_CONTROLS, MAX_HEADINGS = 60, 10
+FIELD_CATEGORIES = ["input", "select", "textarea"]
+
+
+def build_states(states: DataFrame, shown: DataFrame, scope: list[str]) -> DataFrame:
+    """States with what they hold: their controls, fields and headings by name, in order.
+
+    ``states`` come from :func:`classify_states`; ``shown`` are the revealed elements. A
+    state without anything inside stays, with empty lists. Controls (the first 60) and
+    headings (the first 10) are limited as the feature says; fields are among the controls.
+    """
+    found = inside(shown, states.withColumnRenamed("dom_path", "container"), scope).withColumn("label", short_name())
+    order = W.partitionBy(*scope, "container").orderBy("pos", "dom_path")
+    placed = found.withColumn("turn", F.row_number().over(order))
+    heading = F.lower(F.coalesce("tag", F.lit(""))).rlike("^h[1-6]$") & (F.coalesce("text", F.lit("")) != "")
+    listed = lambda test, what: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("turn", what.alias("v"))))), lambda s: s.v)
+    held = placed.groupBy(*scope, F.col("container").alias("dom_path")).agg(
+        listed(F.col("turn") <= MAX_CONTROLS, F.col("label")).alias("controls"),
+        listed((F.col("turn") <= MAX_CONTROLS) & F.col("category").isin(FIELD_CATEGORIES), F.col("label")).alias("fields"),
+        F.slice(listed(heading, F.col("text")), 1, MAX_HEADINGS).alias("headings"),
+    )
+    none = F.array().cast("array<string>")
+    names = ("controls", "fields", "headings")
+    return states.join(held, [*scope, "dom_path"], "left").withColumns({n: F.coalesce(n, none) for n in names})
+
+
+def content_hash(text: Column) -> Column:
+    """32-bit hash of a text with white space squeezed, as browsers' scripts compute it.
+
+    h = 31 h + unit over the UTF-16 units, wrapped to a signed 32-bit number, as text.
+    """
+    plain = strip(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    whole = F.lit(1 << 32)
+
+    def step(h: Column, c: Column) -> Column:
+        point = F.ascii(c).cast("bigint")
+        one = F.pmod(h * 31 + point, whole)
+        high, low = F.lit(0xD7C0) + F.shiftright(point, 10), F.lit(0xDC00) + point.bitwiseAND(F.lit(1023))
+        return F.when(point < 0x10000, one).otherwise(F.pmod(F.pmod(h * 31 + high, whole) * 31 + low, whole))
+
+    h = F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.lit(0).cast("bigint"), step)
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("string")
+
+
+def attach_crops(elements: DataFrame, crops: DataFrame) -> DataFrame:
+    """Elements with the picture of the component at their dom_path, else their own.
+
+    ``crops`` has crawl_id, url, dom_path and picture; of several the least counts.
+    """
+    one = crops.where("dom_path <> ''").groupBy(*PAGE, "dom_path").agg(F.min("picture").alias("picture"))
+    return elements.join(one, [*PAGE, "dom_path"], "left").withColumn("clip_screenshot", F.coalesce("picture", "clip_screenshot")).drop("picture")

@@ -108,7 +108,7 @@ def component_targets(s, d):
 
 
 def _before_after(s, d):
-    rows = current_elements(elements(s, d), "dom_path", "visible", "category", "ui_type", "accessible_name", "text")
+    rows = current_elements(elements(s, d), "dom_path", "visible", "category", "ui_type", "accessible_name", "text", "tag")
     two = pairs(s, d)
     before = two.join(rows.withColumnRenamed("crawl_id", "prev_crawl_id"), "prev_crawl_id")
     after = two.join(rows.withColumnRenamed("crawl_id", "next_crawl_id"), "next_crawl_id")
@@ -125,15 +125,61 @@ def ui_state_reveal(s, d):
     return uistate.revealed(before, after, ["prev_crawl_id", "next_crawl_id", "url"]).select("prev_crawl_id", "next_crawl_id", "url", "element_id")
 
 
-@query("ui_state_classify")
-def ui_state_classify(s, d):
+#: Overlays by ui_type, as the SQL names them.
+_OVERLAY = """case ui_type when 'dialog' then 'modal' when 'drawer' then 'drawer' when 'menu' then 'menu' when 'menubar' then 'menu' when 'tabpanel' then 'tab-panel'
+  when 'tooltip' then 'tooltip' when 'popover' then 'popover' when 'listbox' then 'listbox' when 'tree' then 'tree' when 'disclosure' then 'disclosure' end"""
+_STATES = f"""{_PAIRS}, {EL},
+tr as (select prev_crawl_id, next_crawl_id, url, coalesce(accessible_name, text, '') as trigger_name, controls,
+  map_contains(attributes, 'aria-expanded') or map_contains(states, 'expanded') as expands
+  from prs join el on crawl_id = prev_crawl_id where category in ('button', 'nav') and len(controls) > 0),
+rv as (select prev_crawl_id, next_crawl_id, a.url, a.dom_path, a.pos, a.category, a.tag, a.text, {_OVERLAY} as kind, {_SHORT} as name, {_DEPTH} as dp
+  from prs join el a on a.crawl_id = next_crawl_id where a.visible and a.dom_path <> ''
+  and not exists (select 1 from el b where b.crawl_id = prev_crawl_id and b.url = a.url and b.visible and b.dom_path = a.dom_path)),
+jn as (select tr.*, rv.dom_path, rv.pos, rv.kind, rv.name, rv.dp, case when list_contains(controls, rv.dom_path) and kind is not null then 1
+    when category in ('dialog', 'menu', 'tab', 'tooltip', 'region') and kind is not null then 2 when expands then 3 end as rk, list_position(controls, rv.dom_path) as told
+  from tr join rv on rv.prev_crawl_id = tr.prev_crawl_id and rv.next_crawl_id = tr.next_crawl_id and rv.url = tr.url),
+bs as (select * from jn where rk is not null
+  qualify row_number() over (partition by prev_crawl_id, next_crawl_id, url, trigger_name order by rk, case when rk = 1 then told else 0 end, dp, pos, dom_path) = 1),
+st as (select prev_crawl_id, next_crawl_id, url, trigger_name, case when rk = 3 then 'disclosure' else kind end as kind,
+  case when rk = 3 then trigger_name else coalesce(nullif(name, ''), trigger_name) end as name, dom_path from bs)"""
+
+
+def _states(s, d):
     scope = ["prev_crawl_id", "next_crawl_id", "url"]
     before, after = _before_after(s, d)
-    acts = current_elements(elements(s, d), *["category", "accessible_name", "text", "controls", "attributes"]).where("category = 'button' and size(controls) > 0")
+    acts = current_elements(elements(s, d), *["category", "accessible_name", "text", "controls", "attributes", "states"]).where("category in ('button', 'nav') and size(controls) > 0")
+    expands = F.coalesce(F.map_contains_key("attributes", F.lit("aria-expanded")), F.lit(False)) | F.coalesce(F.map_contains_key("states", F.lit("expanded")), F.lit(False))
     triggers = pairs(s, d).join(acts.withColumnRenamed("crawl_id", "prev_crawl_id"), "prev_crawl_id").select(
-        *scope, F.coalesce("accessible_name", "text", F.lit("")).alias("trigger_name"), "controls", F.map_contains_key("attributes", F.lit("aria-expanded")).alias("expands")
+        *scope, F.coalesce("accessible_name", "text", F.lit("")).alias("trigger_name"), "controls", expands.alias("expands")
     )
-    return uistate.classify_states(triggers, uistate.revealed(before, after, scope), scope)
+    shown = uistate.revealed(before, after, scope)
+    return uistate.classify_states(triggers, shown, scope), shown, scope
+
+
+@query("ui_state_classify", f"with {_STATES} select * from st")
+def ui_state_classify(s, d):
+    return _states(s, d)[0]
+
+
+_LISTED = "coalesce(array_to_string(list({0} order by turn) filter (where {1}), ' | '), '')"
+
+
+@query(
+    "ui_state_contents",
+    f"""with {_STATES}, hd as (select s.prev_crawl_id, s.next_crawl_id, s.url, s.dom_path, rv.name, rv.text, rv.category, rv.tag,
+  row_number() over (partition by s.prev_crawl_id, s.next_crawl_id, s.url, s.dom_path order by rv.pos, rv.dom_path) as turn
+  from (select distinct prev_crawl_id, next_crawl_id, url, dom_path from st) s join rv on rv.prev_crawl_id = s.prev_crawl_id and rv.next_crawl_id = s.next_crawl_id and rv.url = s.url
+  and starts_with(rv.dom_path, s.dom_path) and rv.dom_path <> s.dom_path),
+hs as (select prev_crawl_id, next_crawl_id, url, dom_path, {_LISTED.format('name', 'turn <= 60')} as controls,
+  {_LISTED.format('name', "turn <= 60 and category in ('input', 'select', 'textarea')")} as fields,
+  coalesce(array_to_string(list(text order by turn) filter (where regexp_matches(lower(tag), '^h[1-6]$') and text <> '')[1:10], ' | '), '') as headings from hd group by all)
+select st.*, coalesce(controls, '') as controls, coalesce(fields, '') as fields, coalesce(headings, '') as headings from st
+left join hs on hs.prev_crawl_id = st.prev_crawl_id and hs.next_crawl_id = st.next_crawl_id and hs.url = st.url and hs.dom_path = st.dom_path""",
+)
+def ui_state_contents(s, d):
+    states, shown, scope = _states(s, d)
+    built = uistate.build_states(states, shown, scope)
+    return built.withColumns({c: F.array_join(c, " | ") for c in ("controls", "fields", "headings")})
 
 
 @query(
@@ -163,20 +209,40 @@ def probe_plan(s, d):
     return uistate.probe_stats(uistate.probe_plan(rows, 2))
 
 
+_TEXT = """tx as (select crawl_id, url, trim(regexp_replace(string_agg(coalesce(accessible_name, text, ''), ' ' order by pos, element_id) filter (where visible), '[\\s\\p{Z}]+', ' ', 'g')) as body
+  from el group by 1, 2),
+hx as (select crawl_id, url, list_reduce(list_prepend(0::hugeint, flatten(list_transform(regexp_extract_all(coalesce(body, ''), '(?s).'),
+    lambda c: case when unicode(c) < 65536 then [unicode(c)::hugeint] else [(55232 + (unicode(c) >> 10))::hugeint, (56320 + (unicode(c) & 1023))::hugeint] end))),
+    lambda h, c: (31 * h + c) % 4294967296) as u from tx),
+hs as (select crawl_id, url, (case when u >= 2147483648 then u - 4294967296 else u end)::varchar as content_hash from hx)"""
+
+
+def _page_texts(rows):
+    shown = F.when(F.col("visible"), F.struct("pos", "element_id", F.coalesce("accessible_name", "text", F.lit("")).alias("t")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x.t), " ")
+
+
+@query("content_hashes", f"with {EL}, {_TEXT} select * from hs")
+def content_hashes(s, d):
+    rows = current_elements(elements(s, d), "visible", "accessible_name", "text")
+    return rows.groupBy("crawl_id", "url").agg(_page_texts(rows).alias("body")).select("crawl_id", "url", uistate.content_hash(F.col("body")).alias("content_hash"))
+
+
 @query(
     "interaction_score",
-    f"""with {_PAIRS}, {PG}, {EL}, st as (select crawl_id, url, count(*) filter (where visible) as vi, count(*) filter (where visible and category = 'dialog') as vd, count(*) filter (where states['expanded'] = 'true') as ex from el group by 1, 2)
-select prev_crawl_id, next_crawl_id, a.url, a.vd > b.vd as dialog_opened, a.ex <> b.ex as expanded_changed, a.vd > b.vd or a.ex <> b.ex or a.vi <> b.vi as dom_changed
+    f"""with {_PAIRS}, {PG}, {EL}, {_TEXT}, st as (select el.crawl_id, el.url, count(*) filter (where visible) as vi, count(*) filter (where visible and category = 'dialog') as vd,
+  count(*) filter (where states['expanded'] = 'true') as ex, any_value(content_hash) as ch from el join hs on hs.crawl_id = el.crawl_id and hs.url = el.url group by 1, 2)
+select prev_crawl_id, next_crawl_id, a.url, a.vd > b.vd as dialog_opened, a.ex <> b.ex as expanded_changed, a.vd > b.vd or a.ex <> b.ex or a.vi <> b.vi or a.ch <> b.ch as dom_changed
 from prs join st b on b.crawl_id = prev_crawl_id join st a on a.crawl_id = next_crawl_id and a.url = b.url""",
 )
 def interaction_score(s, d):
-    rows = current_elements(elements(s, d), "visible", "category", "states")
+    rows = current_elements(elements(s, d), "visible", "category", "states", "accessible_name", "text")
     state = F.struct(
         F.col("url").alias("url"),
         F.count_if(F.col("visible") & (F.col("category") == "dialog")).alias("visible_dialogs"),
         F.count_if(F.try_element_at("states", F.lit("expanded")) == "true").alias("expanded"),
         F.count_if("visible").alias("visible_interactive"),
-        F.lit(0).alias("content_hash"),
+        uistate.content_hash(_page_texts(rows)).alias("content_hash"),
     )
     st = rows.groupBy("crawl_id", "url").agg(state.alias("state"))
     two = pairs(s, d).join(st.select(F.col("crawl_id").alias("prev_crawl_id"), "url", F.col("state").alias("before")), "prev_crawl_id")
@@ -185,6 +251,17 @@ def interaction_score(s, d):
     return two.select("prev_crawl_id", "next_crawl_id", "url", *[found[k].alias(k) for k in ("dialog_opened", "expanded_changed", "dom_changed")])
 
 
+@query(
+    "component_crops",
+    f"""with {EL}, ct as ({SQL["component_targets"]}) select element_id, coalesce('components/' || ct.place || '.png', clip_screenshot) as clip_screenshot from el
+left join ct on ct.crawl_id = el.crawl_id and ct.url = el.url and ct.dom_path = el.dom_path""",
+)
+def component_crops(s, d):
+    crops = component_targets(s, d).select("crawl_id", "url", "dom_path", F.format_string("components/%d.png", "place").alias("picture"))
+    rows = current_elements(elements(s, d), "dom_path", "clip_screenshot")
+    return uistate.attach_crops(rows, crops).select("element_id", "clip_screenshot")
+
+
 @query("event_log_stream", "select event_type, count(*) as events, count(distinct user_id) as users, min(event_id) as first_event from events group by 1")
 def event_log_stream(s, d):
     out = log.replay(table(s, d, "events"))

@@ -304,10 +304,11 @@ def orphan_screens(s, d):
 @query(
     "bfs_depths",
     f"""with recursive {ED}, {PG}, e as (select distinct crawl_id, source, target from ed where source <> target),
-b as (select crawl_id, url, 0 as clicks from pg where depth = 0
+b(crawl_id, url, clicks) using key (crawl_id, url) as (select crawl_id, url, 0 from pg where depth = 0
       union
-      select e.crawl_id, e.target, b.clicks + 1 from b join e on e.crawl_id = b.crawl_id and e.source = b.url where b.clicks < 25)
-select crawl_id, url, min(clicks) as clicks from b group by all""",
+      select e.crawl_id, e.target, min(b.clicks + 1) from b join e on e.crawl_id = b.crawl_id and e.source = b.url
+      left join recurring.b as met on met.crawl_id = e.crawl_id and met.url = e.target where met.url is null group by 1, 2)
+select * from b""",
 )
 def bfs_depths(s, d):
     return navigation.bfs_depths(pages(s, d), edges(s, d))
@@ -627,11 +628,11 @@ def forms(s, d):
     "tables",
     f"""with recursive {EL}, {_LEL},
 par as (select crawl_id, url, dom_path as path, arg_max(coalesce(parent_path, ''), (pos, element_id)) as up, bool_or(category = 'table') as is_table from lel where dom_path <> '' group by 1, 2, 3),
-cl as (select lel.crawl_id, lel.url, label, pos, element_id, par.path, par.up, par.is_table, 1 as n from lel join par on par.crawl_id = lel.crawl_id and par.url = lel.url and par.path = lel.parent_path
+cl as (select lel.crawl_id, lel.url, label, pos, element_id, par.path, par.up, par.is_table from lel join par on par.crawl_id = lel.crawl_id and par.url = lel.url and par.path = lel.parent_path
        where category in ('button', 'link') and parent_path <> ''
-       union all
-       select cl.crawl_id, cl.url, cl.label, cl.pos, cl.element_id, par.path, par.up, par.is_table, n + 1 from cl join par on par.crawl_id = cl.crawl_id and par.url = cl.url and par.path = cl.up
-       where not cl.is_table and cl.up <> '' and n < 40),
+       union
+       select cl.crawl_id, cl.url, cl.label, cl.pos, cl.element_id, par.path, par.up, par.is_table from cl join par on par.crawl_id = cl.crawl_id and par.url = cl.url and par.path = cl.up
+       where not cl.is_table and cl.up <> ''),
 ac as (select crawl_id, url, path, label, min((pos, element_id)) as a0 from cl where is_table group by 1, 2, 3, 4),
 ra as (select crawl_id, url, path, string_agg(label, ' | ' order by a0, label) as row_actions from ac group by 1, 2, 3)
 select t.crawl_id, t.url, element_id, dom_path, case when coalesce(nullif({strip_sql('accessible_name')}, ''), nullif({strip_sql('text')}, '')) is not null then label else '(unnamed table)' end as name,
