@@ -12,7 +12,7 @@ from prismgrid.functions.identity import safety_label
 from prismgrid.functions.text import squeezed, strip
 from prismgrid.functions.urls import page_key
 from prismgrid.operators.capture import current_edges, current_elements, current_pages
-from prismgrid.session import checkpoint
+from prismgrid.session import settled
 
 # Query parameters without identity, key names that are secret.
 NOISE = (
@@ -182,14 +182,14 @@ def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
     """Least number of clicks from each capture's entry pages (depth 0) to a screen.
 
     One round per click over the frontier only; each round's new screens are cut off
-    from their history through the shared checkpoint folder. The search ends when a
+    from their history through the shared folder. The search ends when a
     round finds no new screen; unreachable ones are absent.
     """
-    edges = checkpoint(current_edges(nav_edges).where("source <> target").select("crawl_id", "source", "target").distinct())
-    seen = checkpoint(current_pages(page_nodes).where("depth = 0").select("crawl_id", "url", F.lit(0).alias("clicks")))
+    edges = settled(current_edges(nav_edges).where("source <> target").select("crawl_id", "source", "target").distinct())
+    seen = settled(current_pages(page_nodes).where("depth = 0").select("crawl_id", "url", F.lit(0).alias("clicks")))
     frontier = seen
     for step in count(1):
-        frontier = checkpoint(
+        frontier = settled(
             frontier.join(edges.withColumnRenamed("source", "url"), ["crawl_id", "url"])
             .select("crawl_id", F.col("target").alias("url"))
             .distinct()
@@ -201,7 +201,7 @@ def bfs_depths(page_nodes: DataFrame, nav_edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
         # A long chain takes many rounds; the plan of all of them is cut off now and then.
         if step % 20 == 0:
-            seen = checkpoint(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
+            seen = settled(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
 
 
 def crawl_frontier(page_nodes: DataFrame, nav_edges: DataFrame, max_pages: int = 25, max_depth: int = 3) -> DataFrame:
@@ -214,12 +214,12 @@ def crawl_frontier(page_nodes: DataFrame, nav_edges: DataFrame, max_pages: int =
     """
     pages = current_pages(page_nodes).select("crawl_id", "url", "depth")
     edges = current_edges(nav_edges).where("source <> target").groupBy("crawl_id", "source", "target").agg(F.min("edge_id").alias("edge_id"))
-    edges = checkpoint(edges.join(pages.select("crawl_id", F.col("url").alias("target")), ["crawl_id", "target"], "left_semi"))
+    edges = settled(edges.join(pages.select("crawl_id", F.col("url").alias("target")), ["crawl_id", "target"], "left_semi"))
     crawl = W.partitionBy("crawl_id")
 
     def claimed(found: DataFrame) -> DataFrame:
         turn = F.col("used") + F.row_number().over(crawl.orderBy("edge_id", "url"))
-        return checkpoint(found.withColumn("turn", turn).where(F.col("turn") <= max_pages).drop("used"))
+        return settled(found.withColumn("turn", turn).where(F.col("turn") <= max_pages).drop("used"))
 
     start = pages.where("depth = 0").select("crawl_id", "url", F.lit(0).alias("clicks"), F.lit(-1).cast("bigint").alias("edge_id"), F.lit(0).cast("bigint").alias("used"))
     seen = frontier = claimed(start)

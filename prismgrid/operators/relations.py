@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismgrid.functions.identity import control_label
 from prismgrid.functions.text import filled
-from prismgrid.session import checkpoint
+from prismgrid.session import settled
 from prismgrid.operators.capture import current_elements
 from prismgrid.operators.components import reading_order
 
@@ -138,26 +138,28 @@ def forms(elements: DataFrame) -> DataFrame:
     )
 
 
-#: Rounds of halving; a chain of captured parents that is longer than 2 ** ROUNDS runs in a circle.
-ROUNDS = 40
-
-
 def nearest_tables(parents: DataFrame) -> DataFrame:
     """The table that each captured path lies in or is: PAGE, path, nearest.
 
     ``parents`` has PAGE, path, up (the next captured path, or '') and is_table. Each round
     lets a path take over what its parent knows, a table or a parent twice as far, so a
-    chain of n steps takes log n rounds, of the unsettled paths only. Paths whose chain
-    ends, leaves the captured paths or runs in a circle are absent.
+    chain of n steps takes log n rounds, of the unsettled paths only. A chain cannot be
+    longer than the paths of its page are many; what is unsettled then runs in a circle.
+    Paths whose chain ends, leaves the captured paths or runs in a circle are absent.
     """
-    known = checkpoint(parents.select(*PAGE, "path", "up", F.when(F.col("is_table"), F.col("path")).alias("nearest")))
-    for _ in range(ROUNDS):
-        open_ = known.where("nearest is null and up <> ''")
-        if open_.isEmpty():
-            break
+    known = settled(parents.select(*PAGE, "path", "up", F.when(F.col("is_table"), F.col("path")).alias("nearest")))
+    most = known.groupBy(*PAGE).count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach <= most and not known.where("nearest is null and up <> ''").isEmpty():
         above = known.select(*PAGE, F.col("path").alias("up"), F.col("up").alias("next"), F.col("nearest").alias("found"))
-        moved = open_.drop("nearest").join(above, [*PAGE, "up"]).select(*PAGE, "path", F.col("next").alias("up"), F.col("found").alias("nearest"))
-        known = checkpoint(known.where("nearest is not null").unionByName(moved))
+        moved = (
+            known.where("nearest is null and up <> ''")
+            .drop("nearest")
+            .join(above, [*PAGE, "up"])
+            .select(*PAGE, "path", F.col("next").alias("up"), F.col("found").alias("nearest"))
+        )
+        known = settled(known.where("nearest is not null").unionByName(moved))
+        reach *= 2
     return known.where("nearest is not null").select(*PAGE, "path", "nearest")
 
 

@@ -318,14 +318,46 @@ def assemble(columns: Columns, table: str) -> dict[str, list]:
     return out
 
 
+#: Characters of bodies that a task stripes before it passes their rows on; a longer body is alone.
+HELD = 1 << 22
+
+
 def _shredded(batches, make, rest: bool = False):
     for batch in batches:
-        columns = Columns(rest)
-        for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            columns.add(i, body)
+        columns, held = Columns(rest), 0
+        for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = body.as_py()
+            if held and held + len(text) > HELD:
+                yield from make(columns)
+                columns, held = Columns(rest), 0
+            columns.add(i, text)
+            held += len(text)
         yield from make(columns)
 
 
+def unread_bodies(raw_captures: DataFrame) -> DataFrame:
+    """Bodies that give no records: (capture_id, reason), each once.
+
+    ``blank`` is null or holds white space only, ``unreadable`` is no JSON or nested too
+    deeply to be read, ``no object`` is other JSON. Rows without an id count, too.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            ids, reasons = [], []
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = body.as_py()
+                found = read_json(text)
+                if not isinstance(found, dict):
+                    blank = text is None or not text.strip()
+                    bare = text is not None and text.removeprefix("\ufeff").strip() == "null"
+                    ids.append(i)
+                    reasons.append("blank" if blank else "unreadable" if found is None and not bare else "no object")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reasons, pa.string())], names=["capture_id", "reason"])
+
+    return raw_captures.select("capture_id", "body").mapInArrow(judge, "capture_id bigint, reason string").distinct()
+
+
 def _bodies(raw_captures: DataFrame) -> DataFrame:
     return raw_captures.select("capture_id", "body").where("capture_id is not null and body is not null")
 

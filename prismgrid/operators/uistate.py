@@ -147,10 +147,10 @@ def inside(rows: DataFrame, containers: DataFrame, scope: list[str]) -> DataFram
     the lengths that containers of its scope have, so that the join is one of equal keys.
     """
     held = containers.select(*scope, "container").where("container <> ''").distinct()
-    lengths = held.groupBy(*scope).agg(F.collect_set(F.length("container")).alias("lengths"))
-    cut = F.filter("lengths", lambda n: n < F.length("dom_path"))
-    unfolded = rows.where("dom_path <> ''").join(lengths, scope).withColumn("n", F.explode(cut))
-    return unfolded.withColumn("container", F.expr("substring(dom_path, 1, n)")).drop("lengths", "n").join(held, [*scope, "container"])
+    lengths = held.groupBy(*scope).agg(F.collect_set(F.length("container")).alias("__lengths"))
+    cut = F.filter("__lengths", lambda n: n < F.length("dom_path"))
+    unfolded = rows.where("dom_path <> ''").join(lengths, scope).withColumn("__n", F.explode(cut))
+    return unfolded.withColumn("container", F.expr("substring(dom_path, 1, __n)")).drop("__lengths", "__n").join(held, [*scope, "container"])
 
 
 #: Controls and headings kept of a state, and the categories of fields.

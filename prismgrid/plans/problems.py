@@ -63,6 +63,10 @@ def p4_found(spark, sf):
     return shred.capture_records(table(spark, sf, "raw_captures"))
 
 
+def p4_unread(spark, sf):
+    return shred.unread_bodies(table(spark, sf, "raw_captures"))
+
+
 def _shredded(name):
     return lambda spark, sf: shred.capture_table(table(spark, sf, "raw_captures"), name)
 
@@ -77,6 +81,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
+    "p4_unread": p4_unread,
     **{f"p4_{name}": _shredded(name) for name in shred.TABLE_SCHEMA},
 }
 
@@ -164,3 +169,9 @@ SQL["p3_counts"] = (
     _CHANGES
     + "select prev_crawl_id, crawl_id, record_type, change_kind, count(*) as n from (select distinct * from ch) group by all"
 )
+SQL["p4_unread"] = r"""
+with b as (select capture_id, body, regexp_replace(body, '^\x{FEFF}', '') as t from raw_captures),
+o as (select *, case when json_valid(t) and json_type(t::json) = 'VARCHAR' then t::json->>'$' else t end as u from b)
+select distinct capture_id, case when body is null or regexp_full_match(body, '\s*') then 'blank' when not json_valid(u) then 'unreadable' else 'no object' end as reason
+from o where body is null or not json_valid(u) or json_type(case when json_valid(u) then u end::json) <> 'OBJECT'
+"""

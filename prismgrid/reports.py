@@ -6,6 +6,7 @@ examples, chosen by a stated order. HTML, pictures and prose by a model are left
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
@@ -82,3 +83,65 @@ def narrate(summary: str, complete: Callable[[str], str] | None = None) -> str:
 
 def offline_provider(prompt: str) -> str:
     return "[mock-generated] " + prompt[:200]
+
+
+CONFIDENCE = ("high", "medium", "low")
+
+
+def correlation_report(rows: Iterable[dict], unmatched: Iterable[str] = ()) -> str:
+    """Matches of a running application with its sources, by kind, the surest first.
+
+    Rows have kind, confidence, observed, source_name, path, line and evidence.
+    """
+    rows = sorted(rows, key=lambda r: (r["kind"], CONFIDENCE.index(r["confidence"]), r["observed"]))
+    lines = ["# What was observed and where it comes from", "", "Matches are guesses from names and paths; read the evidence.", ""]
+    lines.append("Confidence: " + ", ".join(f"{c} {sum(r['confidence'] == c for r in rows)}" for c in CONFIDENCE))
+    for kind in dict.fromkeys(r["kind"] for r in rows):
+        cells = [(r["confidence"], r["observed"], f"{r['source_name']} ({r['path']}:{r['line']})", r["evidence"]) for r in rows if r["kind"] == kind]
+        lines += ["", f"## {kind}", "", table_markdown(["confidence", "observed", "source", "evidence"], cells)]
+    rest = sorted(unmatched)
+    if rest:
+        lines += ["", "## Observed, not found in the sources", "", *[f"- {u}" for u in rest]]
+    return "\n".join(lines) + "\n"
+
+
+def crawl_report(title: str, totals: dict[str, int], screens: list[dict], edges: Iterable[tuple[str, str, str]] = ()) -> str:
+    """One capture as Markdown: totals, its screens in order of depth and url, how they are linked."""
+    order = sorted(screens, key=lambda s: (s.get("depth") is None, s.get("depth") or 0, s["url"]))
+    lines = [f"# {title}", "", table_markdown(["counter", "n"], sorted(totals.items())), "", "## Screens", ""]
+    lines.append(table_markdown(["url", "title", "depth", "elements"], [(s["url"], s.get("title"), s.get("depth"), s.get("elements")) for s in order]))
+    edges = list(edges)
+    if edges:
+        lines += ["", "```mermaid", mermaid(edges, [s["url"] for s in order]), "```"]
+    return "\n".join(lines) + "\n"
+
+
+def scoping_notes(settings, missed: int, refused_tabs: Iterable[str] = ()) -> list[str]:
+    """What a capture left out, in plain words, from its settings and counters."""
+    notes = []
+    if settings.include:
+        notes.append(f"Only addresses matching {', '.join(settings.include)} were visited.")
+    if settings.exclude:
+        notes.append(f"Addresses matching {', '.join(settings.exclude)} were left out.")
+    if missed:
+        notes.append(f"{counted(missed, 'linked page')} beyond {settings.max_pages} pages or {settings.max_depth} clicks not captured.")
+    tabs = sorted(set(refused_tabs))
+    if tabs:
+        notes.append(f"Tabs that were not opened: {', '.join(tabs)}.")
+    return notes or ["Nothing was left out by the settings."]
+
+
+def test_skeleton_ts(scenarios: Iterable[dict]) -> str:
+    """The skeleton of tests for a TypeScript runner; guarded steps are comments."""
+    out = ['import { test } from "./runner";', ""]
+    for i, s in enumerate(x for x in scenarios if x.get("automatable")):
+        out.append(f"test({_quoted(s['kind'] + ' ' + str(i))}, async ({{ step }}) => {{")
+        for action, target in s.get("steps", []):
+            note = str(target).replace(chr(10), " ")
+            out.append(f"  // not automated: {note}" if action == "guard_skip" else f"  await step({_quoted(action)}, {_quoted(str(target))});")
+        out += ["});", ""]
+    return "\n".join(out)
+
+
+def _quoted(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)

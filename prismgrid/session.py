@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder, for loops of many rounds.
+
+    A checkpoint keeps the estimated size of its plan, which grows with every join of a
+    loop; a written table has the size that it has.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Steps of a plan that move rows: their partitions are not known before they ran.
 MOVING = re.compile("Aggregate|Join|Window|Sort|Exchange|Repartition|Limit")
 

@@ -119,3 +119,42 @@ def command_line(args: list[str]) -> str:
         out.append(Path(a).name if bare or a.endswith(".py") else a)
         bare = a in ("--auth-state", "--output")
     return " ".join(out)[:500]
+
+
+def describe_envelope(settings: Settings) -> dict:
+    """The safety rules in force as plain sorted data, defaults and additions counted together."""
+    from prismgrid.functions.identity import ALLOWED_INTERACTIONS, BLOCK_WORDS, CAUTION_WORDS
+
+    extra = {k: sorted({w.lower() for w in words}) for k, words in (("block", settings.block_words), ("caution", settings.caution_words))}
+    return {
+        "allow_list": sorted(ALLOWED_INTERACTIONS),
+        "block_words": len({*BLOCK_WORDS, *extra["block"]}),
+        "caution_words": len({*CAUTION_WORDS, *extra["caution"]}),
+        "block_words_extra": extra["block"],
+        "caution_words_extra": extra["caution"],
+        "never_touch": list(settings.never_touch),
+    }
+
+
+#: A session that ends sooner than this many seconds is worth a warning.
+SOON = 1800
+
+
+def describe_session(state: dict | None, path: str, target_url: str, now: float) -> list[str]:
+    """What to tell before a run with a saved session; nothing without one."""
+    if not state:
+        return []
+    found = session_expiry(state, target_url, now)
+    if not found["known"]:
+        return [f"info: session {path} says nothing readable of its end"]
+    left = found["seconds_remaining"]
+    if found["expired"]:
+        return [f"error: session {path} ended {-left / 3600:.1f} h ago", "error: sign in again before the run"]
+    if left < SOON:
+        return [f"warning: session {path} ends in {left / 60:.0f} min, perhaps during the run"]
+    return [f"info: session {path} holds for {left / 3600:.1f} h"]
+
+
+def output_folder(root: str, product: str, keep_history: bool, day: str) -> str:
+    """``root/product``, or ``root/day/product`` where captures are kept for comparison."""
+    return str(Path(root, day, product) if keep_history else Path(root, product))

@@ -305,6 +305,13 @@ ELEMENT_SCHEMA = (
 )
 
 
+READERS = {
+    "elements": lambda p: p.elements(),
+    "headings": lambda p: p.headings(),
+    "failures": lambda p: [*p.elements(), *p.headings()][:0],
+}
+
+
 def _rows(pages: DataFrame, method: str, schema: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in re.split(r", (?=\w+ \w)", schema)]
 
@@ -315,9 +322,10 @@ def _rows(pages: DataFrame, method: str, schema: str) -> DataFrame:
             rows = []
             for url, html in zip(pdf["url"], pdf["html"], strict=True):
                 try:
-                    rows += [{"url": url} | r for r in getattr(Page(html), method)()]
-                except (AssertionError, RecursionError, TypeError):
-                    continue
+                    rows += [{"url": url} | r for r in (READERS[method](Page(html)))]
+                except (AssertionError, RecursionError, TypeError) as e:
+                    if method == "failures":
+                        rows.append({"url": url, "reason": type(e).__name__})
             for r in rows:
                 for c in ("attributes", "states"):
                     if c in r:
@@ -337,3 +345,8 @@ def elements_of(pages: DataFrame) -> DataFrame:
 def headings_of(pages: DataFrame) -> DataFrame:
     """Heading rows of pages (url, html): pos, level, text, dom_path."""
     return _rows(pages, "headings", "url string, pos int, level int, text string, dom_path string")
+
+
+def unparsed_pages(pages: DataFrame) -> DataFrame:
+    """Pages that :func:`elements_of` and :func:`headings_of` leave out: url and the reason."""
+    return _rows(pages, "failures", "url string, reason string")

@@ -52,6 +52,27 @@ def documents_json(df: DataFrame, key: list[str], folder: str) -> None:
     nested.select(F.to_json(F.struct(*key, "rows")).alias("value")).write.mode("overwrite").text(folder)
 
 
+#: Documents of a capture: name -> the key that one object is written for.
+DOCUMENTS = {
+    "crawl": ["crawl_id"], "relations": ["crawl_id", "url"], "analysis": ["crawl_id"], "probe": ["crawl_id", "url"],
+    "semantics": ["crawl_id", "url"], "documentation": ["crawl_id", "url"], "qaplan": ["crawl_id", "url"],
+    "diff": ["prev_crawl_id", "next_crawl_id"], "source_index": ["path"], "correlation": ["crawl_id"], "inventory": ["crawl_id"],
+}
+
+
+def write_documents(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Write the named documents of captures as JSON lines; gives the folder of each.
+
+    Each is written even if its table is empty, so that a reader finds it.
+    """
+    if unknown := sorted(set(frames) - set(DOCUMENTS)):
+        raise ValueError(f"unknown documents: {', '.join(unknown)}")
+    written = {name: f"{folder.rstrip('/')}/{name}" for name in frames}
+    for name, rows in frames.items():
+        documents_json(rows, DOCUMENTS[name], written[name])
+    return written
+
+
 def urls_text(pages: DataFrame, folder: str) -> None:
     """Distinct URLs, one a line; an empty table gives an empty folder."""
     pages.where("url is not null").select(F.col("url").alias("value")).distinct().write.mode("overwrite").text(folder)
