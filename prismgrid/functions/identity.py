@@ -29,14 +29,16 @@ ROLE_TYPES = {
     "graphics-document": "graphic", "graphics-symbol": "graphic", "doc-pagelist": "pagination",
     "menuitemcheckbox": "menuitem", "menuitemradio": "menuitem", "switch": "checkbox", "textbox": "textbox",
 }
-UI_TYPES = (
-    "navigation breadcrumb sidebar banner contentinfo main search-landmark region toolbar menubar menu menuitem "
-    "tablist tab tabpanel tree treeitem disclosure heading dialog drawer tooltip popover table grid columnheader "
-    "sortable-column list listitem pagination button link external-link download-link textbox password-input "
-    "searchbox checkbox radio radiogroup combobox listbox option slider spinbutton date-input time-input "
-    "color-picker file-upload rich-text-editor form fieldset alert status live-region progressbar meter "
-    "validation-message image graphic canvas video audio iframe"
-).split()
+UI_TYPES = [
+    "navigation", "breadcrumb", "sidebar", "banner", "contentinfo", "main", "search-landmark", "region", "toolbar",
+    "menubar", "menu", "menuitem", "tablist", "tab", "tabpanel", "tree", "treeitem", "disclosure", "heading",
+    "dialog", "drawer", "tooltip", "popover", "table", "grid", "columnheader", "sortable-column", "list",
+    "listitem", "pagination", "button", "link", "external-link", "download-link", "textbox", "password-input",
+    "searchbox", "checkbox", "radio", "radiogroup", "combobox", "listbox", "option", "slider", "spinbutton",
+    "date-input", "time-input", "color-picker", "file-upload", "rich-text-editor", "form", "fieldset", "alert",
+    "status", "live-region", "progressbar", "meter", "validation-message", "image", "graphic", "canvas", "video",
+    "audio", "iframe",
+]
 BLOCK_WORDS = [
     "delete", "remove", "destroy", "erase", "wipe", "purge", "pay", "purchase", "buy", "checkout", "order now",
     "place order", "send", "approve", "reject", "execute", "run", "deploy", "deactivate", "disable", "archive",
@@ -48,8 +50,11 @@ CAUTION_WORDS = [
     "submit", "save", "apply", "update", "create", "add", "upload", "search", "filter", "edit", "rename", "move",
     "import", "export", "invite", "share", "download",
 ]
-PRIMARY_HINTS = "create add new save submit continue next confirm apply done finish start generate upload".split()
-FILTER_HINTS = "search filter query find sort refine".split()
+PRIMARY_HINTS = [
+    "create", "add", "new", "save", "submit", "continue", "next", "confirm", "apply", "done", "finish", "start",
+    "generate", "upload",
+]
+FILTER_HINTS = ["search", "filter", "query", "find", "sort", "refine"]
 ALLOWED_INTERACTIONS = ["tab", "expander", "disclosure", "menu"]
 GENERATED = [r"(?i)[0-9a-f]{6,}", r"(__|--)[A-Za-z0-9]{4,}$", r"^[:\p{L}\p{N}_-]*\p{Nd}{3,}$"]
 

@@ -15,10 +15,10 @@ from prismgrid.operators.capture import current_edges, current_elements, current
 from prismgrid.session import settled
 
 # Query parameters without identity, key names that are secret.
-NOISE = (
-    "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid msclkid ref "
-    "sessionid session_id sid phpsessid jsessionid"
-).split()
+NOISE = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "ref",
+    "sessionid", "session_id", "sid", "phpsessid", "jsessionid",
+]
 SECRET = (
     "token|api[_-]?key|apikey|secret|password|passwd|pwd|auth|authorization|session|sig|signature|access[_-]?token"
     "|refresh[_-]?token|code|bearer"

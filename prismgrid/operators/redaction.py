@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 # The shapes of the detectors.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){10,30}\b"
-CARD = r"\b(?:[0-9][ -]?){12,18}[0-9]\b"
+IBAN = r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){10,30}\b"
+CARD = r"\b(?:\d[ -]?){12,18}\d\b"
+# The look-aheads of a national number stand apart in national_id_ok, because the SQL that
+# this is compared with runs on an engine without look-aheads.
 NATIONAL_ID = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 PHONE = (
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?|\d{2,5}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?(?![\w.])"

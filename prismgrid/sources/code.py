@@ -9,10 +9,11 @@ from prismgrid.functions.text import strip
 from prismgrid.operators.navigation import source_pattern
 
 # Files that count, places that don't, and the patterns of a line.
-SUFFIXES = "js jsx ts tsx vue svelte mjs cjs".split()
-SKIPPED = (
-    "node_modules .git dist build out coverage .next .nuxt .svelte-kit __pycache__ .venv venv vendor .cache public static"
-).split()
+SUFFIXES = ["js", "jsx", "ts", "tsx", "vue", "svelte", "mjs", "cjs"]
+SKIPPED = [
+    "node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".nuxt", ".svelte-kit", "__pycache__",
+    ".venv", "venv", "vendor", ".cache", "public", "static",
+]
 MAX_BYTES = 512_000
 EXPORTED = r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Z][A-Za-z0-9_]*)"
 DEFAULT_EXPORT = r"export\s+default\s+([A-Z][A-Za-z0-9_]*)\s*[;\n]"

@@ -14,24 +14,37 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 
 # Tags, roles and attributes that results must agree on.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+VOID = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+}
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-BLOCKS = set("p ul ol li table tr td th div section article form nav header footer main aside h1 h2 h3 h4 h5 h6 fieldset details dialog".split())
+BLOCKS = {
+    "p", "ul", "ol", "li", "table", "tr", "td", "th", "div", "section", "article", "form", "nav", "header",
+    "footer", "main", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "fieldset", "details", "dialog",
+}
 LANDMARK_TAGS = {"header": "banner", "nav": "navigation", "main": "main", "footer": "contentinfo", "aside": "complementary", "form": "form", "dialog": "dialog"}
-LANDMARK_ROLES = "navigation main banner contentinfo complementary dialog alertdialog form search region".split()
+LANDMARK_ROLES = [
+    "navigation", "main", "banner", "contentinfo", "complementary", "dialog", "alertdialog", "form", "search",
+    "region",
+]
 ROLES = {
     "button": "button", "nav": "navigation", "main": "main", "header": "banner", "footer": "contentinfo", "aside": "complementary",
     "form": "form", "table": "table", "img": "img", "select": "combobox", "textarea": "textbox", "dialog": "dialog", "ul": "list",
     "ol": "list", "li": "listitem", "th": "columnheader", "td": "cell", "tr": "row", "summary": "button", "label": "label",
 }
 INPUT_ROLES = {"button": "button", "submit": "button", "reset": "button", "checkbox": "checkbox", "radio": "radio", "range": "slider", "search": "searchbox", "number": "spinbutton"}
-NAMED_BY_CONTENT = set("button link heading cell columnheader rowheader row menuitem menuitemcheckbox menuitemradio option radio checkbox switch tab treeitem tooltip label".split())
-ATTRIBUTES = (
-    "id name type href role placeholder alt value title for data-testid aria-label aria-labelledby aria-describedby aria-expanded "
-    "aria-controls aria-hidden aria-disabled disabled aria-haspopup aria-selected aria-pressed open aria-roledescription aria-modal "
-    "aria-sort aria-live aria-invalid aria-required required contenteditable draggable target download accesskey aria-keyshortcuts class"
-).split()
-CHOICE_TYPES = set("checkbox radio range number date datetime-local month week time color".split())
+NAMED_BY_CONTENT = {
+    "button", "link", "heading", "cell", "columnheader", "rowheader", "row", "menuitem", "menuitemcheckbox",
+    "menuitemradio", "option", "radio", "checkbox", "switch", "tab", "treeitem", "tooltip", "label",
+}
+ATTRIBUTES = [
+    "id", "name", "type", "href", "role", "placeholder", "alt", "value", "title", "for", "data-testid",
+    "aria-label", "aria-labelledby", "aria-describedby", "aria-expanded", "aria-controls", "aria-hidden",
+    "aria-disabled", "disabled", "aria-haspopup", "aria-selected", "aria-pressed", "open", "aria-roledescription",
+    "aria-modal", "aria-sort", "aria-live", "aria-invalid", "aria-required", "required", "contenteditable",
+    "draggable", "target", "download", "accesskey", "aria-keyshortcuts", "class",
+]
+CHOICE_TYPES = {"checkbox", "radio", "range", "number", "date", "datetime-local", "month", "week", "time", "color"}
 KEPT_VALUE_TYPES = CHOICE_TYPES | {"button", "submit", "reset", "hidden"}
 OPTION_ROLES = {"listbox": {"option"}, "radiogroup": {"radio"}, "menu": {"menuitem", "menuitemcheckbox", "menuitemradio"}, "menubar": {"menuitem", "menuitemcheckbox", "menuitemradio"}, "tablist": {"tab"}}
 MAX_OPTIONS, MAX_COLUMNS, MAX_SEGMENTS = 50, 40, 40
@@ -138,7 +151,10 @@ def category(n: Node) -> str | None:
     return next((c for c, hit in tests if hit), None)
 
 
-CATEGORIES = "button link input select textarea form image table dialog nav tab menu tree disclosure status tooltip region columnheader editor media".split()
+CATEGORIES = [
+    "button", "link", "input", "select", "textarea", "form", "image", "table", "dialog", "nav", "tab", "menu",
+    "tree", "disclosure", "status", "tooltip", "region", "columnheader", "editor", "media",
+]
 
 
 class Page:
