@@ -175,3 +175,16 @@ o as (select *, case when json_valid(t) and json_type(t::json) = 'VARCHAR' then
 select distinct capture_id, case when body is null or regexp_full_match(body, '\s*') then 'blank' when not json_valid(u) then 'unreadable' else 'no object' end as reason
 from o where body is null or not json_valid(u) or json_type(case when json_valid(u) then u end::json) <> 'OBJECT'
 """
+SQL["p1_lifespans"] = r"""
+with r as (select feed, file_no, regexp_replace(record, '^\x{FEFF}', '') as t from crawl_files where feed is not null and file_no is not null and record is not null),
+o as (select feed, file_no, case when json_valid(t) then case when json_type(t::json) = 'VARCHAR' then t::json->>'$' else t end end as u from r),
+d as (select feed, file_no, u::json as u from o where json_valid(u) and json_type(u::json) = 'OBJECT'),
+x as (select feed, file_no, regexp_replace(substr(t.fullkey, 3), '\[[0-9]+\]', '[]', 'g') as path, t.type as type from d, json_tree(d.u) t where t.fullkey <> '$'),
+k as (select feed, file_no, path, coalesce(string_agg(distinct kind, '|' order by kind), '') as kind from (
+  select feed, file_no, path, case when type = 'NULL' then null when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' when type = 'OBJECT' then 'object'
+    when type = 'ARRAY' then 'array' else 'number' end as kind from x where not (ends_with(path, '[]') and type <> 'ARRAY')) group by all),
+f as (select feed, file_no, row_number() over (partition by feed order by file_no) as seq, count(*) over (partition by feed) as files from (select distinct feed, file_no from k)),
+g as (select k.*, seq, files, seq - row_number() over (partition by feed, path, kind order by seq) as island from k join f using (feed, file_no))
+select feed, path, kind, min(file_no) as first_file, max(file_no) as last_file, count(*) as n_files, min(seq) > 1 as starts, max(seq) < any_value(files) as ends
+from g group by feed, path, kind, island
+"""
