@@ -14,6 +14,7 @@ import json
 import math
 import re
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -456,27 +457,61 @@ def alias_table(changes: DataFrame) -> DataFrame:
     return spark.createDataFrame([(c, a) for a, c in sorted(known.items())], "canonical string, alias string")
 
 
-def cast_value(value, kind: str):
-    """Cast of one value to a declared type; None where it cannot be cast."""
-    if value is None:
+def feed_aliases(changes: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """(feed, alias, canonical, from_file): where a feed's own rename speaks against the table.
+
+    One name may stand for different fields in different feeds; the alias table holds one
+    meaning. In a feed that renames a declared field (or a name of one) to such a name,
+    the name has that field's meaning from the file of the rename on.
+    """
+    rows = changes.where("change_kind = 'renamed'").select("feed", "file_no", "field_path", "new_path").distinct()
+    table = changes.sparkSession.createDataFrame([(a, c) for a, c in sorted(aliases.items())], "name string, canonical string")
+    old = table.select(F.col("name").alias("field_path"), F.col("canonical").alias("meant"))
+    new = table.select(F.col("name").alias("new_path"), F.col("canonical").alias("listed"))
+    own = rows.join(old, "field_path").join(new, "new_path").where("meant <> listed")
+    return own.groupBy("feed", F.col("new_path").alias("alias"), F.col("meant").alias("canonical")).agg(F.min("file_no").alias("from_file"))
+
+
+def _truth(value):
+    return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(value).strip().lower())
+
+
+def _moment(value):
+    try:
+        return datetime.fromtimestamp(value, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    except (ValueError, OverflowError, OSError):
         return None
-    if kind == "number":
-        return number(value)
-    if kind == "boolean":
-        return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(value).strip().lower())
-    if kind == "time":
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            from datetime import datetime, timezone
-
-            return datetime.fromtimestamp(value, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        return as_text(value)
-    if kind == "version" and isinstance(value, dict):
-        return ".".join(str(value.get(k, 0)) for k in ("major", "minor", "patch"))
-    if isinstance(value, dict):
-        return as_text(value.get("text", value))
-    if isinstance(value, list):
-        return ", ".join(as_text(v) or "" for v in value)
-    return as_text(value)
+
+
+def _dotted(value):
+    return ".".join(str(value.get(k, 0)) for k in ("major", "minor", "patch"))
+
+
+def _titled(value):
+    return as_text(value.get("text", value))
+
+
+def _joined(value):
+    return ", ".join(as_text(v) or "" for v in value)
+
+
+#: Casts to a declared type, by the JSON type of what is cast; '' stands for all others.
+CASTS = {
+    "number": {"": number},
+    "boolean": {"": _truth},
+    "time": {"number": _moment, "": as_text},
+    "version": {"object": _dotted, "array": _joined, "": as_text},
+    "string": {"object": _titled, "array": _joined, "": as_text},
+}
+
+
+def generate_casts(aliases: dict[str, str]) -> dict[tuple[str, str], object]:
+    """The cast of every name of a declared field, by the name and the JSON type of the value."""
+    return {
+        (canonical, kind): CASTS[MODEL[canonical][1]].get(kind, CASTS[MODEL[canonical][1]][""])
+        for canonical in {c for c in aliases.values() if c in MODEL}
+        for kind in KINDS.values()
+    }
 
 
 def not_held(value, cast, kind: str):
@@ -500,21 +535,28 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
     the alias table, other types are cast; what a cast cannot read is null and left in
     ``rest``. ``rest`` goes by path; ``navigation[2].weight`` belongs to the entry at
     place 2 of the column, where an entry that is no object is null. Of two names of one
-    field in a record the first with a value fills the column, the other is left.
+    field in a record the first with a value fills the column, the other is left and its
+    path is listed in ``collisions``. A feed's own renames go before those of other feeds.
     """
-    changes = schema_changes(crawl_files) if changes is None else changes
+    changes = checkpoint(schema_changes(crawl_files)) if changes is None else changes
     aliases = {r.alias: r.canonical for r in alias_table(changes).toLocalIterator()}
+    casts = generate_casts(aliases)
+    # Only contradictions, at most one a feed and name.
+    own: dict[str, list] = {}
+    for r in sorted(feed_aliases(changes, aliases).toLocalIterator(), key=lambda r: (r.feed, r.from_file, r.alias)):
+        own.setdefault(r.feed, []).append((r.from_file, r.alias, r.canonical))
+    shared = aliases
     scalars = [p for p in MODEL if "[]" not in p]
     nav = [p for p in MODEL if "[]" in p]
     simple = {"number": "double", "boolean": "boolean"}
     schema = ", ".join(
         ["feed string", "file_no int", "line_no int"]
         + [f"{MODEL[p][0]} {simple.get(MODEL[p][1], 'string')}" for p in scalars]
-        + ["navigation array<struct<" + ", ".join(f"{MODEL[p][0]}: string" for p in nav) + ">>", "rest string"]
+        + ["navigation array<struct<" + ", ".join(f"{MODEL[p][0]}: string" for p in nav) + ">>", "rest string", "collisions array<string>"]
     )
 
-    def unify(record: dict) -> tuple[dict, list, dict]:
-        got, entries, rest = {}, [], {}
+    def unify(record: dict, aliases: dict[str, str]) -> tuple[dict, list, dict, list]:
+        got, entries, rest, collisions = {}, [], {}, []
 
         def keep(path: str, v):
             while path in rest:
@@ -526,8 +568,9 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
             if to.get(name) is not None:
                 if v is not None:
                     keep(raw, v)
+                    collisions.append(raw)
                 return
-            to[name] = cast_value(v, MODEL[name][1])
+            to[name] = None if v is None else casts[name, KINDS[type(v)]](v)
             left = not_held(v, to[name], MODEL[name][1])
             if left is not None:
                 keep(place, left)
@@ -561,7 +604,10 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
                     entries.append({MODEL[p][0]: one.get(p) for p in nav})
             else:
                 keep(name, v)
-        return got, entries, rest
+        return got, entries, rest, collisions
+
+    def names_of(feed, no) -> dict[str, str]:
+        return shared | {a: c for start, a, c in own[feed] if no is not None and start <= no} if feed in own else shared
 
     def read(batches):
         import pandas as pd
@@ -572,11 +618,10 @@ def unified_records(crawl_files: DataFrame, changes: DataFrame | None = None) ->
             for feed, no, line, record in pdf.itertuples(index=False):
                 value = read_json(record)
                 if isinstance(value, dict):
-                    got, entries, rest = unify(value)
-                    rows.append(
-                        (feed, no, line, *[got.get(p) for p in scalars], entries, json.dumps(rest, ensure_ascii=False, sort_keys=True))
-                    )
-            yield pd.DataFrame(rows, columns=["feed", "file_no", "line_no", *names, "navigation", "rest"], dtype=object)
+                    got, entries, rest, collisions = unify(value, names_of(feed, no))
+                    left = json.dumps(rest, ensure_ascii=False, sort_keys=True)
+                    rows.append((feed, no, line, *[got.get(p) for p in scalars], entries, left, collisions))
+            yield pd.DataFrame(rows, columns=["feed", "file_no", "line_no", *names, "navigation", "rest", "collisions"], dtype=object)
 
     return (
         crawl_files.where("record is not null")

@@ -131,3 +131,24 @@ def test_container_and_label_both_renamed(frame):
         out = drift.unified_records(frame("crawl_files", some)).collect()
         assert [[n.nav_label for n in r.navigation] for r in out] == [["Orders", "Help"]] * len(some)
         assert {r.rest for r in out} == {"{}"}
+
+
+def test_a_name_may_mean_another_field_in_another_feed(frame):
+    f = [[{"crawl_id": f"cr_{i}", "engine_version": f"0.{i}.1"}] * 3 for i in (1, 2)]
+    f += [[{"crawl_id": f"cr_{i}", "tool": f"0.{i}.1"}] * 3 for i in (3, 4)]
+    g = [[{"crawl_id": "cr_5", "run_id": f"run-{i}-x"}] * 3 for i in (1, 2)] + [[{"crawl_id": "cr_6", "tool": f"run-{i}-x"}] * 3 for i in (3, 4)]
+    rows = [x for k, r in enumerate(f) for x in lines("f", k + 1, r)] + [x for k, r in enumerate(g) for x in lines("g", k + 1, r)]
+    assert {("f", 3, "engine_version", "renamed", "tool"), ("g", 3, "run_id", "renamed", "tool")} <= found(frame, rows)
+    out = drift.unified_records(frame("crawl_files", rows)).collect()
+    assert {(r.feed, r.engine_version) for r in out if r.feed == "f"} == {("f", f"0.{i}.1") for i in (1, 2, 3, 4)}
+    assert {(r.run_id, r.engine_version) for r in out if r.feed == "g"} == {(f"run-{i}-x", None) for i in (1, 2, 3, 4)}
+
+
+def test_two_names_of_one_field_in_a_record_collide(frame):
+    old = [{"crawl_id": f"cr_{i}", "config": {"max_pages": 25}} for i in (1, 2)]
+    new = [{"crawl_id": f"cr_{i}", "config": {"page_limit": 25}} for i in (3, 4)]
+    both = [{"crawl_id": "cr_5", "config": {"max_pages": 30, "page_limit": 40}}]
+    out = drift.unified_records(frame("crawl_files", lines("f", 1, old) + lines("f", 2, new) + lines("g", 1, both))).collect()
+    (r,) = [r for r in out if r.feed == "g"]
+    assert (r.max_pages, json.loads(r.rest), r.collisions) == (30, {"config.page_limit": 40}, ["config.page_limit"])
+    assert {tuple(r.collisions) for r in out if r.feed == "f"} == {()}
