@@ -37,7 +37,8 @@ def diff_elements(prints: DataFrame, pages: DataFrame, pairs: DataFrame) -> Data
 
     First the i-th elements of equal fingerprint are paired by position; what is left
     over is paired where category, role, landmark and structure occur exactly once on
-    each side; the rest is added or removed.
+    each side; the rest is added or removed. The elements of a page are placed together
+    once; pairing, leftovers and their counts all use that placement.
     """
     kept = pairs.join(pages.select(F.col("crawl_id").alias("prev_crawl_id"), "url"), "prev_crawl_id").join(
         pages.select(F.col("crawl_id").alias("next_crawl_id"), "url"), ["next_crawl_id", "url"]
@@ -46,6 +47,7 @@ def diff_elements(prints: DataFrame, pages: DataFrame, pairs: DataFrame) -> Data
     both = (
         old.withColumn("side", F.lit(-1))
         .unionByName(new.withColumn("side", F.lit(1)))
+        .repartition(*SCOPE)
         .join(kept.select(*SCOPE).distinct(), SCOPE, "left_semi")
         .withColumn("name", F.lower(strip(F.coalesce("accessible_name", F.lit("")))))
     )
@@ -56,39 +58,26 @@ def diff_elements(prints: DataFrame, pages: DataFrame, pairs: DataFrame) -> Data
         .groupBy(*SCOPE, "fingerprint", "turn")
         .agg(F.max(F.when(F.col("side") < 0, facts)).alias("o"), F.max(F.when(F.col("side") > 0, facts)).alias("n"))
     )
-    renamed = paired.where("o is not null and n is not null and o.name <> n.name").select(
-        *SCOPE, F.lit("renamed").alias("change_kind"), F.lit("fingerprint").alias("matched_by"), "n.element_id", "n.accessible_name", F.col("o.accessible_name").alias("previous_name")
-    )
-    left = paired.where("o is null or n is null").select(
-        *SCOPE,
-        F.coalesce("o", "n").alias("e"),
-        F.when(F.col("n").isNull(), -1).otherwise(1).alias("side"),
-    )
     blank = F.lit("")
-    key = F.concat_ws("|", "e.category", F.coalesce("e.role", blank), F.coalesce("e.landmark", blank), structural_signature(F.col("e.dom_path")))
-    grouped = left.groupBy(*SCOPE, key.alias("key")).agg(
-        F.count_if(F.col("side") < 0).alias("olds"),
-        F.count_if(F.col("side") > 0).alias("news"),
-        F.max(F.when(F.col("side") < 0, F.col("e"))).alias("o"),
-        F.max(F.when(F.col("side") > 0, F.col("e"))).alias("n"),
+    e = F.coalesce("n", "o")
+    key = F.concat_ws("|", e.category, F.coalesce(e.role, blank), F.coalesce(e.landmark, blank), structural_signature(e.dom_path))
+    left = F.col("o").isNull() | F.col("n").isNull()
+    # Paired elements have a group of their own beside the leftovers of their page and structure.
+    same = W.partitionBy(*SCOPE, "key")
+    judged = (
+        paired.withColumn("key", F.when(left, key))
+        .withColumn("alone", left & (F.count("o").over(same) == 1) & (F.count("n").over(same) == 1))
+        .withColumn("former", F.when(~left, F.col("o")).when(F.col("alone"), F.max(F.when(left, F.col("o"))).over(same)))
     )
-    one = grouped.where("olds = 1 and news = 1")
-    moved = one.where("o.name <> n.name").select(
-        *SCOPE, F.lit("renamed").alias("change_kind"), F.lit("structural").alias("matched_by"), "n.element_id", "n.accessible_name", F.col("o.accessible_name").alias("previous_name")
-    )
-    rest = (
-        left.withColumn("key", key)
-        .join(one.select(*SCOPE, "key"), [*SCOPE, "key"], "left_anti")
-        .select(
-            *SCOPE,
-            F.when(F.col("side") < 0, "removed").otherwise("added").alias("change_kind"),
-            F.lit(None).cast("string").alias("matched_by"),
-            "e.element_id",
-            "e.accessible_name",
-            F.lit(None).cast("string").alias("previous_name"),
-        )
+    moved = F.col("n").isNotNull() & F.col("former").isNotNull() & (F.col("n.name") != F.col("former.name"))
+    return judged.where(moved | (left & ~F.col("alone"))).select(
+        *SCOPE,
+        F.when(moved, "renamed").when(F.col("n").isNull(), "removed").otherwise("added").alias("change_kind"),
+        F.when(moved, F.when(left, "structural").otherwise("fingerprint")).alias("matched_by"),
+        e.element_id.alias("element_id"),
+        e.accessible_name.alias("accessible_name"),
+        F.when(moved, F.col("former.accessible_name")).alias("previous_name"),
     )
-    return renamed.unionByName(moved).unionByName(rest)
 
 
 def diff_components(components: DataFrame, pairs: DataFrame) -> DataFrame:
