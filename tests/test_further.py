@@ -19,13 +19,6 @@ def edge(i, a, b, crawl="c"):
     return {"edge_id": i, "crawl_id": crawl, "source": f"https://x.example/{a}", "target": f"https://x.example/{b}", "arrived_at": AT}
 
 
-def test_clicks_along_a_long_chain(frame):
-    pages = frame("page_nodes", [page(i, 0 if i == 0 else None) for i in range(41)])
-    edges = frame("nav_edges", [edge(i, i, i + 1) for i in range(40)])
-    got = {r.url: r.clicks for r in navigation.bfs_depths(pages, edges).collect()}
-    assert len(got) == 41 and got["https://x.example/40"] == 40
-
-
 def test_frontier_claims_its_budget_in_order(frame):
     pages = frame("page_nodes", [page(i, 0 if i == 0 else 1) for i in range(8)] + [page(9, 1, "d")])
     # 0 -> 3, 2, 1; 3 -> 4; 1 -> 5; 7 is missed; 99 does not exist; d has no entry page
